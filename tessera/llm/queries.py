@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import sharding
+from . import mixing, sharding, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -25,8 +25,28 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = mixing.mix(spark, _read(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    return out.select("doc_id", "size", "source_size", "target", "taken")
+
+
+def _held_out() -> Column:
+    return F.crc32(F.col("doc_id").cast("string")) % 3 == 1
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.train(spark, docs, _read(spark, sf_dir, "labels").where(~_held_out()))
+    out = toxicity.score(docs, model)
+    return out.select("doc_id", _held_out().alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def queries() -> dict:
-    return {"op1_sharding": op1_sharding}
+    return {
+        "op1_sharding": op1_sharding,
+        "op2_toxicity": op2_toxicity,
+        "op5_mixing": op5_mixing,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
