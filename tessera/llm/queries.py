@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, sharding, toxicity
+from . import mixing, ngram_join, sharding, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -41,11 +41,16 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", _held_out().alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.similar(spark, _read(spark, sf_dir, "documents"), n=3, percent=90)
+
+
 def queries() -> dict:
     return {
         "op1_sharding": op1_sharding,
         "op2_toxicity": op2_toxicity,
         "op5_mixing": op5_mixing,
+        "op7_ngram_join": op7_ngram_join,
     }
 
 
