@@ -56,20 +56,21 @@ def fit(rows: list[np.ndarray], toxic: np.ndarray, alpha: float = 1.0, l2: float
     prior = float(np.log((n_pos + 0.5) / (n_neg + 0.5)))
     if not n_pos or not n_neg:
         return Model(weights, prior)
-    sizes = np.array([len(r) for r in rows])
-    flat = np.concatenate(rows) if sizes.sum() else np.zeros(0, np.int64)
-    owner = np.repeat(np.arange(len(rows)), sizes)
-    p = np.bincount(flat[toxic[owner] == 1], minlength=size) + alpha
-    q = np.bincount(flat[toxic[owner] == 0], minlength=size) + alpha
+    p, q = np.full(size, alpha), np.full(size, alpha)
+    for r, y in zip(rows, toxic, strict=True):
+        (p if y else q)[r] += 1  # the features of a row are distinct
     ratio = np.log(p / (n_pos + 2 * alpha)) - np.log(q / (n_neg + 2 * alpha))
     ratio[(np.abs(ratio) < least_ratio) | (p + q < 3 + 2 * alpha)] = 0.0
     used = np.flatnonzero(ratio)
     if not len(used):
         return Model(weights, prior)
-    column = np.full(size, -1)
-    column[used] = np.arange(len(used))
-    inside = column[flat] >= 0
-    col, row, x = column[flat[inside]], owner[inside], ratio[flat[inside]]
+    column = np.full(size, -1, np.int32)
+    column[used] = np.arange(len(used), dtype=np.int32)
+    kept = [r[ratio[r] != 0] for r in rows]
+    row = np.repeat(np.arange(len(rows), dtype=np.int32), [len(k) for k in kept])
+    flat = np.concatenate(kept)
+    col, x = column[flat], ratio[flat].astype(np.float32)
+    del kept, flat
     # classes weigh the same; Nesterov steps on the mean logistic loss
     cost = np.where(toxic == 1, 0.5 / n_pos, 0.5 / n_neg)
     norm = np.bincount(row, x * x, minlength=len(rows))
@@ -103,8 +104,10 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, id_col: str =
         return pd.Series([features(t).astype(np.int32) for t in texts])
 
     rows = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).join(sample, "i").where("t is not null")
-    got = rows.limit(4 * most).select("i", "y", hashed("t").alias("f")).toPandas().sort_values(["i", "y"], kind="stable")
-    return fit([np.asarray(f, np.int64) for f in got["f"]], got["y"].to_numpy(np.int64))
+    got = rows.limit(4 * most).select("i", "y", hashed("t").alias("f")).toArrow()
+    order = sorted(range(len(got)), key=lambda k, i=got["i"].to_pylist(), y=got["y"].to_pylist(): (i[k], y[k]))
+    sets = [part.slice(k, 1).flatten().to_numpy() for part in got["f"].chunks for k in range(len(part))]
+    return fit([sets[k] for k in order], got["y"].to_numpy()[order].astype(np.int64))
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", name: str = "score") -> DataFrame:
