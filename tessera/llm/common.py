@@ -93,6 +93,13 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def originals(out: DataFrame, docs: DataFrame, *names: str) -> DataFrame:
+    """The columns of docs, from out, where those that clash with the added
+    names have given way as fresh() says."""
+    clash = dict(zip(names, fresh(docs, *names), strict=True))
+    return out.select(*[F.col(clash.get(c.lower(), c)).alias(c) for c in docs.columns])
+
+
 def literal_rows(rows: list, ddl: str) -> Column:
     """A constant array of structs, for lookups without a join."""
     import json

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, ngram_join, sharding, toxicity
+from . import decontamination, mixing, ngram_join, sharding, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -45,12 +45,20 @@ def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.similar(spark, _read(spark, sf_dir, "documents"), n=3, percent=90)
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The contaminated documents, with the item that covers each best."""
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    out = decontamination.coverage(spark, docs, _read(spark, sf_dir, "benchmark"))
+    return out.where(F.col("coverage") >= decontamination.THRESHOLD).drop("text")
+
+
 def queries() -> dict:
     return {
         "op1_sharding": op1_sharding,
         "op2_toxicity": op2_toxicity,
         "op5_mixing": op5_mixing,
         "op7_ngram_join": op7_ngram_join,
+        "op8_decontamination": op8_decontamination,
     }
 
 
