@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, mixing, ngram_join, sharding, toxicity
+from . import decontamination, mixing, ngram_join, repeats, sharding, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -52,10 +52,16 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.where(F.col("coverage") >= decontamination.THRESHOLD).drop("text")
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = repeats.remove_repeats(spark, _read(spark, sf_dir, "documents"), window=13)
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def queries() -> dict:
     return {
         "op1_sharding": op1_sharding,
         "op2_toxicity": op2_toxicity,
+        "op3_substring_dedup": op3_substring_dedup,
         "op5_mixing": op5_mixing,
         "op7_ngram_join": op7_ngram_join,
         "op8_decontamination": op8_decontamination,
