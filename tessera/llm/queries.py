@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, mixing, ngram_join, repeats, sharding, toxicity
+from . import decontamination, fingerprints, html_text, mixing, ngram_join, repeats, sharding, token_counts, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -57,14 +57,31 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = html_text.extract(_read(spark, sf_dir, "pages"))
+    return out.select("page_id", "url", "text")
+
+
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = token_counts.token_counts(spark, _read(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_tokens", "section_tokens")
+
+
+def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprints(spark, _read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
     return {
         "op1_sharding": op1_sharding,
         "op2_toxicity": op2_toxicity,
         "op3_substring_dedup": op3_substring_dedup,
+        "op4_html_extraction": op4_html_extraction,
         "op5_mixing": op5_mixing,
         "op7_ngram_join": op7_ngram_join,
         "op8_decontamination": op8_decontamination,
+        "op9_token_counts": op9_token_counts,
+        "op10_fingerprints": op10_fingerprints,
     }
 
 
