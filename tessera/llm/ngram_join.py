@@ -8,8 +8,9 @@ threshold asks for.  Pairs that survive are verified on the sets.
 
 The points meet in many small trees rather than one: sets at the threshold must
 share one of the first n - ceil(t n) + 1 shingles of any common order, so each
-set goes to the trees of these.  The order puts shingles last that a bounded
-sample finds frequent; any order gives the same result.  Equal sets are one
+set goes to the trees of these, apart by bands of set size.  The order puts
+shingles last that a bounded sample finds in several documents; any order gives
+the same result.  Equal sets are one
 point.  Trees give a forest of possible links, its components (near-duplicate
 families) are verified each in one place, links grow into components.
 """
@@ -17,6 +18,7 @@ families) are verified each in one place, links grow into components.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, chunks, components, encoded, grams, lower_ascii, require, span_hashes, word_spans
+from .common import Scratch, chunks, components, encoded, grams, lower_ascii, mix, require, span_hashes, word_spans
 from .grouping import dealt, forest
 
 GROUPS = 64
@@ -60,6 +62,16 @@ def prefix_length(n: int, percent: int) -> int:
     return n - -(-percent * n // 100) + 1 if n else 0
 
 
+def size_bands(n: int, percent: int) -> list[int]:
+    """Bands of set sizes, such that any two sizes that may link share one: a
+    size's own, and the next if a partner may lie there."""
+    if not n:
+        return []
+    step = 4 * math.log(100 / percent) if percent < 100 else 1.0
+    own, high = int(math.log(n) / step + 1e-9), int(math.log(n * 100 / percent) / step + 1e-6)
+    return list(range(own, high + 1))
+
+
 def _points(payload: pd.Series) -> np.ndarray:
     p = np.frombuffer(b"".join(payload), np.uint16).reshape(-1, GROUPS).astype(np.int64)
     p[p == _FULL] = 1 << 40
@@ -181,9 +193,9 @@ def similar(
     n: int = 3,
     percent: int = 90,
     lower: bool = True,
-    sample: int = 3000,
-    frequent: float = 0.004,
+    sample: int = 6000,
     block: int = 1024,
+    broadcast_rows: int = 100_000,
 ) -> DataFrame:
     """(doc_id, n_shingles, component_id) of each row of docs: the size of its
     set, and the smallest id that links reach.  Two rows link if 100 * shared >=
@@ -191,8 +203,9 @@ def similar(
 
     A null or wordless text has no shingles and links with nothing.  A null id
     takes part in no link and has a null component.  Rows that repeat an id are
-    one node, with the links of all.  An empty table gives no rows.  sample and
-    frequent only steer the common order; block bounds what a task holds.
+    one node, with the links of all.  An empty table gives no rows.  sample
+    only steers the common order; block bounds what a task holds; a table of at
+    most broadcast_rows ids goes to all executors, a larger one is shuffled.
     """
     require(docs, id_col, text_col)
     if not 0 < percent <= 100:
@@ -200,16 +213,17 @@ def similar(
     scratch = Scratch(spark, "ngram")
     given = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
 
-    # shingles of at least a few sampled documents go to the end of the order
+    # shingles of more than one class of sampled documents go to the end of the order
     def of_sample(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            for s in shingle_sets(encoded(frame["text"]), n, lower):
-                yield pd.DataFrame({"h": s.view(np.int64)})
+            seen = {s.tobytes(): s for s in shingle_sets(encoded(frame["text"]), n, lower)}
+            for s in seen.values():
+                yield pd.DataFrame({"h": s.view(np.int64), "of": s[:1].view(np.int64).repeat(len(s))})
 
     picked = given.select("doc_id").where("doc_id is not null").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    sampled = given.join(F.broadcast(picked.distinct()), "doc_id").mapInPandas(of_sample, "h long")
-    counts = sampled.groupBy("h").count().where(F.col("count") >= max(3, int(sample * frequent)))
-    late = np.sort(np.array([r.h for r in counts.select("h").collect()], np.int64).view(np.uint64))
+    sampled = given.join(F.broadcast(picked.distinct()), "doc_id").mapInPandas(of_sample, "h long, of long")
+    often = sampled.groupBy("h").agg(F.min("of").alias("a"), F.max("of").alias("b")).where("a <> b").select("h")
+    late = np.sort(often.toArrow()["h"].to_numpy().view(np.uint64))
 
     def to_sets(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -218,6 +232,7 @@ def similar(
                 digest = hashlib.blake2b(s.tobytes(), digest_size=16).digest()
                 last = late[np.minimum(np.searchsorted(late, s), len(late) - 1)] == s if len(late) else np.zeros(len(s), bool)
                 first = np.concatenate([s[~last], s[last]])[: prefix_length(len(s), percent)]
+                first = np.concatenate([mix(first ^ np.uint64(band)) for band in size_bands(len(s), percent)] or [first])
                 out.append((len(s), int.from_bytes(digest[:8], "big", signed=True), int.from_bytes(digest[8:], "big", signed=True), _point(s).tobytes(), first.view(np.int64)))
             yield pd.DataFrame(out, columns=["n", "d1", "d2", "payload", "prefix"]).assign(doc_id=frame["doc_id"].array)
 
@@ -240,7 +255,8 @@ def similar(
     # each family's sets in one place, or in blocks
     home = reps.select("node", "d1", "d2", F.col("doc_id")).join(families.select("node", F.col("component").alias("group")), "node")
     home = scratch.table(home, "home")
-    texts = given.join(home.select("doc_id", "node", "group", "d1", "d2"), "doc_id")
+    wanted = home.select("doc_id", "node", "group", "d1", "d2")
+    texts = given.join(F.broadcast(wanted) if home.count() <= broadcast_rows else wanted, "doc_id")
 
     def to_full(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
