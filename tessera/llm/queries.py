@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, fingerprints, html_text, mixing, ngram_join, repeats, sharding, token_counts, toxicity
+from . import decontamination, fingerprints, html_text, line_dedup, mixing, ngram_join, repeats, sharding, token_counts, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -62,6 +62,12 @@ def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("page_id", "url", "text")
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    out = line_dedup.counts(docs, line_dedup.find(spark, docs))
+    return out.select("doc_id", "n_lines", "n_removed", "removed")
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = token_counts.token_counts(spark, _read(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_tokens", "section_tokens")
@@ -78,6 +84,7 @@ def queries() -> dict:
         "op3_substring_dedup": op3_substring_dedup,
         "op4_html_extraction": op4_html_extraction,
         "op5_mixing": op5_mixing,
+        "op6_line_dedup": op6_line_dedup,
         "op7_ngram_join": op7_ngram_join,
         "op8_decontamination": op8_decontamination,
         "op9_token_counts": op9_token_counts,
