@@ -195,6 +195,7 @@ def similar(
     lower: bool = True,
     sample: int = 6000,
     block: int = 1024,
+    family_block: int = 4096,
     broadcast_rows: int = 100_000,
 ) -> DataFrame:
     """(doc_id, n_shingles, component_id) of each row of docs: the size of its
@@ -204,7 +205,8 @@ def similar(
     A null or wordless text has no shingles and links with nothing.  A null id
     takes part in no link and has a null component.  Rows that repeat an id are
     one node, with the links of all.  An empty table gives no rows.  sample
-    only steers the common order; block bounds what a task holds; a table of at
+    only steers the common order; block and family_block bound the points and the sets
+    that a task holds at a time (half of them); a table of at
     most broadcast_rows ids goes to all executors, a larger one is shuffled.
     """
     require(docs, id_col, text_col)
@@ -276,7 +278,7 @@ def similar(
     def verified(frame: pd.DataFrame) -> list[tuple[int, int]]:
         return linked([np.frombuffer(b, np.uint64) for b in frame["payload"]], percent)
 
-    real = forest(dealt(spark, scratch, full, sizes, block // 2), verified)
+    real = forest(dealt(spark, scratch, full, sizes, family_block), verified)
     node_of = scratch.table(components(spark, real, scratch, "links"), "components")
 
     # rows of a class are one node each by id; an id with several texts joins its classes
