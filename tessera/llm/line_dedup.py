@@ -6,10 +6,14 @@ minimum hash (one-permutation hashing; an empty bin takes that of the next full
 one).  A band is four bins, neighbours or at a distance of 8; the minima of each of
 the 16 bands are a key.  Eight of these do not overlap and miss 1.5 percent of the
 lines at similarity 0.8; the other eight find most of them.  In each key's bucket
-every line meets up to four centres (members with least or greatest hashes).  Pairs
-whose set sizes rule the threshold out go, the others are verified by exact Jaccard
-similarity, and union-find joins them.  Of each component the first line (by
-document id, then position) stays.
+every line meets up to four centres (members whose hashes come first in four
+orders).  Pairs whose set sizes rule the threshold out go, the others are verified
+by exact Jaccard similarity, and union-find joins them.  Of each component the first
+line (by document id, then position) stays.
+
+Shingles are rows, not arrays: exploded, hashed and aggregated within one stage,
+where they are compiled code and cross no exchange, as their line's row is already
+where its hash says.
 
 Members of a bucket meet its centres only, so its pairs grow with its size; two
 lines that are alike but both unlike the centres of all their buckets stay apart.
@@ -22,33 +26,45 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, components, require
 
-#: Where the 32 bins begin, ascending.
-BINS = [-(1 << 63) + (b << 59) for b in range(32)]
+BINS = 32
+#: Where the bins begin, ascending.
+STARTS = [-(1 << 63) + (b << 59) for b in range(BINS)]
 ROWS = 4
 #: The bins of each band: neighbours, and those at a distance of 8.
-BANDS = [list(range(b, b + ROWS)) for b in range(0, 32, ROWS)] + [list(range(b, 32, 8)) for b in range(8)]
+BANDS = [list(range(b, b + ROWS)) for b in range(0, BINS, ROWS)] + [list(range(b, BINS, 8)) for b in range(8)]
+#: A member is a centre if its hash, after one of these flips, is its bucket's least.
+FLIPS = [0, -1, 0x5555555555555555, 0x3333333333333333]
 #: Blanks at the ends of a line.
 BLANKS = " \t\n\x0b\x0c\r"
 
 
-def _units(line: Column) -> Column:
-    return F.encode(line, "UTF-16BE")
-
-
-def _hashes(units: str, k: int) -> Column:
-    """Of a column of units; an expression would be evaluated for each shingle."""
-    last = F.greatest(F.octet_length(units) - (2 * k - 1), F.lit(1))
-    return F.transform(F.sequence(F.lit(1), last, F.lit(2)), lambda i: F.xxhash64(F.substring(F.col(units), i, F.lit(2 * k))))
+def _shingles(lines: DataFrame, k: int, *keys: str) -> DataFrame:
+    """(keys, h): the hash of every shingle of `line`, repeats included."""
+    units = lines.select(*keys, F.encode("line", "UTF-16BE").alias("u"))
+    last = F.greatest(F.octet_length("u") - (2 * k - 1), F.lit(1))
+    each = units.select(*keys, "u", F.explode(F.sequence(F.lit(1), last, F.lit(2))).alias("i"))
+    return each.select(*keys, F.xxhash64(F.substring("u", F.col("i"), F.lit(2 * k))).alias("h"))
 
 
 def _minimum(b: int) -> Column:
     """The least hash from where bin b begins, else the least of all: of columns
-    s (sorted hashes) and m (s and the beginnings of bins, sorted), without a pass
-    of a lambda for each bin."""
-    below = F.array_position("m", F.lit(BINS[b])).cast("int") - F.lit(1 + b)
+    s (the full bins' minima) and m (s and the beginnings of bins, sorted)."""
+    below = F.array_position("m", F.lit(STARTS[b])).cast("int") - F.lit(1 + b)
     return F.coalesce(F.get("s", below), F.get("s", F.lit(0)))
 
 
+def sign(lines: DataFrame, k: int) -> DataFrame:
+    """(l, keys) of every different line of lines(l, line)."""
+    once = lines.groupBy("l").agg(F.first("line").alias("line"))
+    hashed = _shingles(once, k, "l")
+    least = hashed.groupBy("l", (F.shiftright("h", 59) + BINS // 2).alias("bin")).agg(F.min("h").alias("h"))
+    minima = least.groupBy("l").agg(F.sort_array(F.collect_list("h")).alias("s"))
+    starts = F.array(*[F.lit(x) for x in STARTS])
+    sorted_ = minima.select("l", "s", F.sort_array(F.concat("s", starts)).alias("m"))
+    keys = [F.xxhash64(F.lit(i), *[_minimum(b) for b in band]) for i, band in enumerate(BANDS)]
+    return sorted_.select("l", F.array(*keys).alias("keys"))
+
+
 def lines_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, pos, line) of lines that aren't blank, without outer blanks."""
     text = F.col(text_col)
@@ -66,50 +82,42 @@ def find(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col:
     require(docs, id_col, text_col)
     scratch = Scratch(spark, "lines")
     lines = lines_of(docs, id_col, text_col)
-    h = F.xxhash64("line")
-    units = lines.select(h.alias("l"), "id", "pos", _units(F.col("line")).alias("u"))
-    hashed = units.select("l", "id", "pos", _hashes("u", k).alias("h"))
-    sorted_ = hashed.select("l", "id", "pos", F.sort_array("h").alias("s"), F.sort_array(F.concat("h", F.array(*[F.lit(x) for x in BINS]))).alias("m"))
-    keys = F.array(*[F.xxhash64(F.lit(i), *[_minimum(b) for b in band]) for i, band in enumerate(BANDS)])
-    # a lambda keeps this step out of whole-stage code: there it would be one method, too long for the JVM to compile
-    size = F.transform(F.array(F.size(F.array_distinct("s"))), lambda n: n)[0]
-    signed = scratch.table(sorted_.select("l", "id", "pos", size.alias("size"), keys.alias("keys")), "signed")
-
-    seen = scratch.table(signed.groupBy("l").agg(F.min(F.struct("id", "pos")).alias("first"), F.first("keys").alias("keys"), F.first("size").alias("size"), F.count("*").alias("n")), "seen")
-    banded = seen.select("l", "size", F.explode("keys").alias("key"))
-    picks = [F.min(F.struct("l", "size")), F.max(F.struct("l", "size")), *[F.min(F.struct(F.xxhash64("l", F.lit(s)).alias("o"), F.struct("l", "size").alias("c")))["c"] for s in (1, 2)]]
-    centres = banded.groupBy("key").agg(*[p.alias(f"c{i}") for i, p in enumerate(picks)]).where("c0.l < c1.l")
-    centres = centres.select("key", F.explode(F.array_distinct(F.array("c0", "c1", "c2", "c3"))).alias("c"))
-    centres = scratch.table(centres.select("key", F.col("c.l").alias("c"), F.col("c.size").alias("of")), "centres")
-    alike = F.least("size", "of") >= F.lit(similarity) * F.greatest("size", "of")
-    met = banded.join(centres, "key").where((F.col("l") != F.col("c")) & alike)
-    pairs = scratch.table(met.select(F.least("l", "c").alias("l"), F.greatest("l", "c").alias("c")).distinct(), "pairs")
-
-    wanted = scratch.table(pairs.select(F.explode(F.array("l", "c")).alias("l")).distinct(), "wanted")
-    wanted_rows = wanted.count()
-    few = F.broadcast(wanted) if wanted_rows <= broadcast_rows else wanted
-    at = seen.join(few, "l").select("l", "first.id", "first.pos")
+    lines = lines.withColumn("l", F.xxhash64("line"))
+    places = scratch.table(lines.select("l", "id", "pos"), "at")
+    signed = scratch.table(sign(lines.select("l", "line"), k), "signed")
+    seen = scratch.table(places.groupBy("l").agg(F.min(F.struct("id", "pos")).alias("first"), F.count("*").alias("n")), "seen")
+
+    banded = signed.select("l", F.explode("keys").alias("key"))
+    picks = [F.min(F.col("l").bitwiseXOR(F.lit(f))).bitwiseXOR(F.lit(f)).alias(f"c{i}") for i, f in enumerate(FLIPS)]
+    centres = banded.groupBy("key").agg(*picks).where("c0 < c1")
+    centres = scratch.table(centres.select("key", F.explode(F.array_distinct(F.array("c0", "c1", "c2", "c3"))).alias("c")), "centres")
+    met = banded.join(F.broadcast(centres) if centres.count() <= broadcast_rows else centres, "key").where("l <> c")
+    met = scratch.table(met.select(F.least("l", "c").alias("l"), F.greatest("l", "c").alias("c")).distinct(), "met")
+
+    wanted = scratch.table(met.select(F.explode(F.array("l", "c")).alias("l")).distinct(), "wanted")
+    few = wanted.count() <= broadcast_rows
     # each wanted line once: at its first place; a null id compares as itself
-    at = F.broadcast(at) if wanted_rows <= broadcast_rows else at
-    there = lines.select(h.alias("h"), "line", F.col("id").alias("i"), F.col("pos").alias("p"))
-    found = there.join(at, (F.col("h") == F.col("l")) & F.col("i").eqNullSafe(F.col("id")) & (F.col("p") == F.col("pos")))
+    first = seen.join(F.broadcast(wanted) if few else wanted, "l").select("l", F.col("first.id").alias("i"), F.col("first.pos").alias("p"))
+    found = lines.join(F.broadcast(first) if few else first, "l").where(F.col("id").eqNullSafe(F.col("i")) & (F.col("pos") == F.col("p")))
     texts = scratch.table(found.groupBy("l").agg(F.first("line").alias("line")), "texts")
-    both = pairs.join(texts.select("l", F.col("line").alias("a")), "l").join(texts.select(F.col("l").alias("c"), F.col("line").alias("b")), "c")
-    both = both.select("l", "c", _units(F.col("a")).alias("a"), _units(F.col("b")).alias("b"))
-    both = both.select("l", "c", F.array_distinct(_hashes("a", k)).alias("a"), F.array_distinct(_hashes("b", k)).alias("b"))
-    both = both.select("l", "c", F.size("a").alias("na"), F.size("b").alias("nb"), F.size(F.array_intersect("a", "b")).alias("both"))
-    # written before the test, which would else move into the join and repeat all of it
-    both = scratch.table(both, "both")
-    links = both.where(F.col("both") >= F.lit(similarity) * (F.col("na") + F.col("nb") - F.col("both"))).select(F.col("l").alias("a"), F.col("c").alias("b"))
+    sizes = _shingles(texts.repartition("l"), k, "l").groupBy("l", "h").agg(F.lit(1).alias("one")).groupBy("l").agg(F.count("*").alias("size"))
+    sizes = scratch.table(sizes, "sizes")
+    sized = met.join(sizes.withColumnRenamed("size", "nl"), "l").join(sizes.select(F.col("l").alias("c"), F.col("size").alias("nc")), "c")
+    pairs = scratch.table(sized.where(F.least("nl", "nc") >= F.lit(similarity) * F.greatest("nl", "nc")).select("l", "c"), "pairs")
+    # the shingles of both sides of a pair, where the pair is
+    sides = pairs.join(texts, "l").select("l", "c", F.lit(1).alias("side"), "line").unionByName(pairs.join(texts.withColumnRenamed("l", "c"), "c").select("l", "c", F.lit(2).alias("side"), "line"))
+    each = _shingles(sides.repartition("l", "c"), k, "l", "c", "side").groupBy("l", "c", "h").agg(F.bit_or("side").alias("sides"))
+    both = each.groupBy("l", "c").agg(F.count("*").alias("either"), F.count_if(F.col("sides") == 3).alias("both"))
+    links = both.where(F.col("both") >= F.lit(similarity) * F.col("either")).select(F.col("l").alias("a"), F.col("c").alias("b"))
     families = components(spark, links, scratch, "families")
 
     # the first place of each family with more than one occurrence
     place = seen.select("l", "first", "n").join(families.withColumnRenamed("node", "l"), "l", "left").withColumn("component", F.coalesce("component", "l"))
-    place = scratch.table(place.drop("keys"), "places")
+    place = scratch.table(place, "places")
     keep = place.groupBy("component").agg(F.min("first").alias("keep"), F.sum("n").alias("of")).where("of > 1").select("component", "keep")
     keep = scratch.table(keep, "keep")
     repeated = scratch.table(place.join(keep, "component").select("l", "keep"), "repeated")
-    again = signed.select("l", "id", "pos").join(repeated, "l").where(~(F.col("id").eqNullSafe(F.col("keep.id")) & (F.col("pos") == F.col("keep.pos"))))
+    again = places.join(repeated, "l").where(~(F.col("id").eqNullSafe(F.col("keep.id")) & (F.col("pos") == F.col("keep.pos"))))
     return again.groupBy(F.col("id").alias("doc_id")).agg(F.array_sort(F.collect_set("pos")).alias("removed"))
 
 
