@@ -6,17 +6,20 @@ minimum hash (one-permutation hashing; an empty bin takes that of the next full
 one).  A band is four bins, neighbours or at a distance of 8; the minima of each of
 the 16 bands are a key.  Eight of these do not overlap and miss 1.5 percent of the
 lines at similarity 0.8; the other eight find most of them.  In each key's bucket
-every line meets up to four centres (members whose hashes come first in four
+every line first meets up to four centres (members whose hashes come first in four
 orders).  Pairs whose set sizes rule the threshold out go, the others are verified
-by exact Jaccard similarity, and union-find joins them.  Of each component the first
-line (by document id, then position) stays.
+by exact Jaccard similarity, and union-find joins them.  Members of a bucket that
+are no centres and that this leaves apart then meet by an exact join: at the
+threshold two sets share a shingle of their prefixes, rarest shingles first.  So
+every pair of a bucket is compared, ruled out or joined already.  Of each component
+the first line (by document id, then position) stays.
 
 Shingles are rows, not arrays: exploded, hashed and aggregated within one stage,
 where they are compiled code and cross no exchange, as their line's row is already
 where its hash says.
 
-Members of a bucket meet its centres only, so its pairs grow with its size; two
-lines that are alike but both unlike the centres of all their buckets stay apart.
+Pairs with centres grow with a bucket's size; those of the exact join with the
+square of the lines that share a rare shingle, which meet in blocks.
 """
 
 from __future__ import annotations
@@ -72,7 +75,48 @@ def lines_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return out.withColumn("line", F.btrim("line", F.lit(BLANKS))).where("line <> ''")
 
 
-def find(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 8, similarity: float = 0.8, broadcast_rows: int = 100_000) -> DataFrame:
+def _verified(pairs: DataFrame, texts: DataFrame, k: int, similarity: float) -> DataFrame:
+    """(a, b): the pairs(l, c) whose Jaccard similarity reaches the threshold."""
+    # the shingles of both sides of a pair, where the pair is
+    sides = pairs.join(texts, "l").select("l", "c", F.lit(1).alias("side"), "line").unionByName(pairs.join(texts.withColumnRenamed("l", "c"), "c").select("l", "c", F.lit(2).alias("side"), "line"))
+    each = _shingles(sides.repartition("l", "c"), k, "l", "c", "side").groupBy("l", "c", "h").agg(F.bit_or("side").alias("sides"))
+    both = each.groupBy("l", "c").agg(F.count("*").alias("either"), F.count_if(F.col("sides") == 3).alias("both"))
+    return both.where(F.col("both") >= F.lit(similarity) * F.col("either")).select(F.col("l").alias("a"), F.col("c").alias("b"))
+
+
+def _apart(banded: DataFrame, centres: DataFrame, wide: DataFrame, families: DataFrame) -> DataFrame:
+    """(l, component): members of the buckets `wide` that are no centres there,
+    where these are of several components."""
+    others = banded.join(wide, "key").join(centres.select("key", F.col("c").alias("l")), ["key", "l"], "left_anti")
+    others = others.join(families.withColumnRenamed("node", "l"), "l", "left").withColumn("component", F.coalesce("component", "l"))
+    several = others.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b")
+    return others.join(several.select("key"), "key").select("l", "component").distinct()
+
+
+def _may_link(shingles: DataFrame, apart: DataFrame, similarity: float, block: int) -> DataFrame:
+    """(l, c): all pairs of apart(l, component), of different components, that can
+    reach the similarity, given their distinct shingles(l, h).  Two sets at the
+    threshold share one of the first n - ceil(t n) + 1 shingles of any common
+    order, here the rarest first; where they first do, what is left of both must
+    suffice.  The lines that share one meet in blocks of about `block`."""
+    often = shingles.groupBy("h").agg(F.count("*").alias("of"))
+    ranked = shingles.join(often, "h").groupBy("l").agg(F.sort_array(F.collect_list(F.struct("of", "h"))).alias("s"))
+    n = F.size("s")
+    prefix = F.slice("s", F.lit(1), n - F.ceil(F.lit(similarity) * n - 1e-9).cast("int") + 1)
+    each = ranked.select("l", n.alias("n"), F.posexplode(prefix).alias("pos", "x")).where("x.of > 1")
+    each = each.join(apart, "l").select("l", "component", "n", (F.col("n") - F.col("pos")).alias("left"), "x.h", F.ceil(F.col("x.of") / block).alias("blocks"))
+    own = each.withColumn("own", F.pmod(F.xxhash64("l"), "blocks"))
+    dealt = own.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    dealt = dealt.select("l", "component", "n", "left", "h", "own", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
+    a, b = dealt.alias("a"), dealt.alias("b")
+    same = [F.col(f"a.{x}") == F.col(f"b.{x}") for x in ("h", "lo", "hi")]
+    once = (F.col("a.l") < F.col("b.l")) & (F.col("a.component") != F.col("b.component")) & ((F.col("a.own") != F.col("b.own")) | (F.col("a.lo") == F.col("a.hi")))
+    sizes = F.least("a.n", "b.n") >= F.lit(similarity) * F.greatest("a.n", "b.n") - 1e-6
+    enough = F.least("a.left", "b.left") * (1 + similarity) >= F.lit(similarity) * (F.col("a.n") + F.col("b.n")) - 1e-6
+    return a.join(b, [*same, once, sizes, enough]).select("a.l", F.col("b.l").alias("c")).distinct()
+
+
+def find(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 8, similarity: float = 0.8, broadcast_rows: int = 100_000, block: int = 512) -> DataFrame:
     """(doc_id, removed): positions, ascending, of lines that repeat an earlier
     one nearly, for every document that has some.
 
@@ -89,8 +133,8 @@ def find(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col:
 
     banded = signed.select("l", F.explode("keys").alias("key"))
     picks = [F.min(F.col("l").bitwiseXOR(F.lit(f))).bitwiseXOR(F.lit(f)).alias(f"c{i}") for i, f in enumerate(FLIPS)]
-    centres = banded.groupBy("key").agg(*picks).where("c0 < c1")
-    centres = scratch.table(centres.select("key", F.explode(F.array_distinct(F.array("c0", "c1", "c2", "c3"))).alias("c")), "centres")
+    centres = banded.groupBy("key").agg(F.count("*").alias("n"), *picks).where("c0 < c1").withColumn("cs", F.array_distinct(F.array("c0", "c1", "c2", "c3")))
+    centres = scratch.table(centres.select("key", F.explode("cs").alias("c"), (F.col("n") - F.size("cs")).alias("others")), "centres")
     met = banded.join(F.broadcast(centres) if centres.count() <= broadcast_rows else centres, "key").where("l <> c")
     met = scratch.table(met.select(F.least("l", "c").alias("l"), F.greatest("l", "c").alias("c")).distinct(), "met")
 
@@ -104,12 +148,17 @@ def find(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col:
     sizes = scratch.table(sizes, "sizes")
     sized = met.join(sizes.withColumnRenamed("size", "nl"), "l").join(sizes.select(F.col("l").alias("c"), F.col("size").alias("nc")), "c")
     pairs = scratch.table(sized.where(F.least("nl", "nc") >= F.lit(similarity) * F.greatest("nl", "nc")).select("l", "c"), "pairs")
-    # the shingles of both sides of a pair, where the pair is
-    sides = pairs.join(texts, "l").select("l", "c", F.lit(1).alias("side"), "line").unionByName(pairs.join(texts.withColumnRenamed("l", "c"), "c").select("l", "c", F.lit(2).alias("side"), "line"))
-    each = _shingles(sides.repartition("l", "c"), k, "l", "c", "side").groupBy("l", "c", "h").agg(F.bit_or("side").alias("sides"))
-    both = each.groupBy("l", "c").agg(F.count("*").alias("either"), F.count_if(F.col("sides") == 3).alias("both"))
-    links = both.where(F.col("both") >= F.lit(similarity) * F.col("either")).select(F.col("l").alias("a"), F.col("c").alias("b"))
-    families = components(spark, links, scratch, "families")
+    families = components(spark, _verified(pairs, texts, k, similarity), scratch, "families")
+
+    # members that are no centres, where a bucket has several, against each other
+    wide = scratch.table(centres.where("others > 1").select("key").distinct(), "wide")
+    if n_wide := wide.count():
+        apart = scratch.table(_apart(banded, centres, F.broadcast(wide) if n_wide <= broadcast_rows else wide, families), "apart")
+        own = texts.join(F.broadcast(apart) if apart.count() <= broadcast_rows else apart, "l").select("l", "line")
+        shingles = scratch.table(_shingles(own.repartition("l"), k, "l").distinct(), "shingles")
+        more = scratch.table(_may_link(shingles, apart, similarity, block), "more")
+        links = _verified(more, texts, k, similarity).unionByName(families.select(F.col("node").alias("a"), F.col("component").alias("b")))
+        families = components(spark, links, scratch, "joined")
 
     # the first place of each family with more than one occurrence
     place = seen.select("l", "first", "n").join(families.withColumnRenamed("node", "l"), "l", "left").withColumn("component", F.coalesce("component", "l"))

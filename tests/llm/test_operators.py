@@ -1,6 +1,7 @@
 """Operators against brute force on small tables with nulls, ties and clashes."""
 
 import hashlib
+import random
 import re
 
 import pytest
@@ -115,3 +116,27 @@ def test_lines(spark, empty):
     removed = line_dedup.find(spark, docs)
     assert {r.doc_id: r.removed for r in removed.collect()} == {2: [1, 2]}
     assert {r.doc_id: r.text for r in line_dedup.apply(docs, removed).collect()} == {1: f"{long}\nA\n\n", 2: "B", 3: None, 4: ""}
+
+
+def test_lines_of_a_template(spark):
+    """Far more different lines in a bucket than it has centres, against all pairs."""
+    rng = random.Random(5)
+    stem = "".join(rng.choices("abcdefgh", k=106))
+    lines = []
+    for _ in range(600):
+        own = "".join(rng.choices("ijklmnop", k=4))
+        lines += [f"x{stem}{own}" + "".join(rng.choices("ijklmnop", k=10)) for _ in range(2)]
+    rng.shuffle(lines)
+    sets = [{x[i : i + 8] for i in range(len(x) - 7)} for x in lines]
+    part = list(range(len(lines)))
+    for b in range(len(lines)):
+        for a in range(b):
+            if part[a] != part[b] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                low, high = sorted((part[a], part[b]))
+                part = [low if p == high else p for p in part]
+    want = {i: [k for k in range(30) if part[30 * i + k] != 30 * i + k] for i in range(40)}
+    assert sum(map(len, want.values())) == 1137
+    docs = spark.createDataFrame([(i, "\n".join(lines[30 * i : 30 * i + 30])) for i in range(40)], "doc_id long, text string")
+    for block in (512, 7):
+        got = {r.doc_id: r.removed for r in line_dedup.find(spark, docs, block=block).collect()}
+        assert got == {i: x for i, x in want.items() if x}
