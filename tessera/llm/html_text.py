@@ -2,7 +2,7 @@
 
 A tolerant tokenizer feeds a tree builder that closes elements whose end tags
 may be left out and ignores end tags that match nothing.  Elements that a reader
-doesn't see are skipped.  The rest is rendered: runs of white space collapse to a
+doesn't see are skipped; of an svg its texts are seen.  The rest is rendered: runs of white space collapse to a
 space outside pre, blocks start on lines of their own, paragraphs, headings,
 lists and tables stand apart by a blank line, list items have markers and are
 indented by depth, cells of a table are padded to the widest of their column.
@@ -27,7 +27,10 @@ _HIDING = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidde
 # fixed values: names of HTML elements by how they act
 _VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = set("script style textarea title iframe noembed noframes xmp".split())
-_UNSEEN = set("head title script style template noscript iframe object embed svg math canvas audio video datalist noembed noframes map".split())
+_UNSEEN = set("head title script style template noscript iframe object embed canvas audio video datalist noembed noframes map annotation annotation-xml mphantom".split())
+#: Of an svg, text elements are seen, and others unless they only define.
+_SVG_TEXT = {"text", "foreignobject"}
+_SVG_UNSEEN = set("defs symbol clippath mask marker pattern desc metadata".split())
 _BLOCK = set("address article aside blockquote body center details dialog dd div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul caption legend optgroup xmp".split())
 _APART = set("p h1 h2 h3 h4 h5 h6 ul ol menu dl table blockquote pre hr figure xmp".split())
 #: An element that starts closes open ones of these names, up to a border.
@@ -63,7 +66,7 @@ def _element(name: str, raw: str) -> Node:
     if raw and ("hid" in raw.lower() or "none" in raw.lower() or "start" in raw or "collapse" in raw):
         for key, value in _ATTRIBUTE.findall(raw):
             key, value = key.lower(), html.unescape(value.strip("\"'"))
-            if key == "hidden" and value.lower() != "until-found" or key == "style" and _HIDING.search(value) or key == "aria-hidden" and value.lower() == "true" or name == "input" and key == "type" and value.lower() == "hidden":
+            if key == "hidden" and value.lower() != "until-found" or key == "style" and _HIDING.search(value) or name == "input" and key == "type" and value.lower() == "hidden":
                 hidden = True
             elif key == "start" and name == "ol" and re.fullmatch(r"-?\d{1,9}", value):
                 start = int(value)
@@ -205,6 +208,16 @@ def _table(node: Node, page: _Page) -> None:
     page.blank = True
 
 
+def _svg_texts(svg: Node):
+    todo = [svg]
+    while todo:
+        x = todo.pop()
+        if x.name in _SVG_TEXT:
+            yield x
+        else:
+            todo += [y for y in reversed(x.children) if isinstance(y, Node) and not y.hidden and y.name not in _SVG_UNSEEN]
+
+
 def _render(node: Node, page: _Page, children=None, pre: bool = False) -> None:
     number = node.start
     for x in node.children if children is None else children:
@@ -228,6 +241,11 @@ def _render(node: Node, page: _Page, children=None, pre: bool = False) -> None:
             page.stop(True)
         elif x.name == "table":
             _table(x, page)
+        elif x.name == "svg":
+            for part in _svg_texts(x):
+                page.space = True
+                _render(part, page)
+                page.space = True
         elif x.name == "li":
             page.stop()
             marker = f"{number}. " if node.name == "ol" else "- "

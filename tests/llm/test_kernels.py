@@ -108,3 +108,10 @@ def test_classifier_learns():
 
 def test_grams_of_short_texts_are_empty():
     assert len(grams(np.zeros(2, np.uint64), 3)) == 0
+
+
+def test_text_of_formulas_and_drawings():
+    assert html_text.render('<p>a <span aria-hidden="true">b</span> c') == "a b c"
+    formula = "<math><semantics><mrow><mi>x</mi><mo>=</mo><mn>2</mn></mrow><annotation>x=2</annotation></semantics></math>"
+    assert html_text.render(f"<p>so {formula}.") == "so x=2."
+    assert html_text.render("<p>a<svg><title>t</title>z<defs><text>no</text></defs><g><path/><text>one <tspan>two</tspan></text></g><text>three</text></svg>b") == "a one two three b"
