@@ -12,7 +12,9 @@ from __future__ import annotations
 
 import html
 import re
+import sys
 import unicodedata
+from collections import Counter
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -50,8 +52,8 @@ _CLOSES = {
 }
 _CLOSES_P = _BLOCK - {"body", "html", "option", "optgroup", "td", "th", "tr", "tbody", "thead", "tfoot", "li", "dt", "dd", "caption", "legend"}
 _SCOPE = {"table", "td", "th", "caption", "button", "html", "template", "object"}
-#: Deeper elements become siblings.
-DEPTH = 200
+#: Columns from which on nesting indents no further.
+INDENT = 800
 
 
 class Node:
@@ -75,20 +77,31 @@ def _element(name: str, raw: str) -> Node:
 
 def build(source: str) -> Node:
     """The tree of a page."""
+    return _build(source)[0]
+
+
+def _build(source: str) -> tuple[Node, int]:
+    """The tree, and how deep elements were open."""
     root = Node("#root")
-    stack, at, n = [root], 0, len(source)
+    stack, at, n, deepest = [root], 0, len(source), 1
+    opened: Counter[str] = Counter()  # names on the stack
+
+    def cut(k: int) -> None:
+        opened.subtract(x.name for x in stack[k:])
+        del stack[k:]
 
     def text(s: str) -> None:
         if s:
             stack[-1].children.append(html.unescape(s))
 
     def close(names: set, border: set) -> None:
-        for k in range(len(stack) - 1, 0, -1):
+        k = len(stack) - 1
+        while k and any(opened[x] > 0 for x in names):
             if stack[k].name in border:
                 return
             if stack[k].name in names:
-                del stack[k:]
-                return close(names, border)
+                cut(k)
+            k -= 1
 
     while at < n:
         m = _TOKEN.search(source, at)
@@ -102,9 +115,9 @@ def build(source: str) -> Node:
             continue
         name = name.lower()
         if end:
-            for k in range(len(stack) - 1, 0, -1):
+            for k in range(len(stack) - 1, 0, -1) if opened[name] > 0 or name == "p" else ():
                 if stack[k].name == name:
-                    del stack[k:]
+                    cut(k)
                     break
                 if stack[k].name in _SCOPE and name not in ("table", "html", "body", "tr", "tbody", "thead", "tfoot"):
                     break
@@ -127,9 +140,10 @@ def build(source: str) -> Node:
             if inner:
                 node.children.append(html.unescape(inner) if name in ("textarea", "title") else inner)
         elif name not in _VOID and not raw.endswith("/") or name in _BLOCK - {"hr"}:
-            if len(stack) < DEPTH:
-                stack.append(node)
-    return root
+            stack.append(node)
+            opened[name] += 1
+            deepest = max(deepest, len(stack))
+    return root, deepest
 
 
 _SPACE = re.compile(r"[ \t\n\f\r]+")
@@ -171,6 +185,10 @@ class _Page:
         self.lines.append((first + line).rstrip())
 
 
+def _deeper(indent: str, n: int) -> str:
+    return indent + " " * n if len(indent) < INDENT else indent
+
+
 def _width(s: str) -> int:
     return sum(0 if unicodedata.combining(c) else 2 if unicodedata.east_asian_width(c) in "WF" else 1 for c in s)
 
@@ -250,7 +268,7 @@ def _render(node: Node, page: _Page, children=None, pre: bool = False) -> None:
             page.stop()
             marker = f"{number}. " if node.name == "ol" else "- "
             number += 1
-            indent, page.indent, page.marker = page.indent, page.indent + " " * len(marker), marker
+            indent, page.indent, page.marker = page.indent, _deeper(page.indent, len(marker)), marker
             _render(x, page)
             page.stop()
             page.indent, page.marker = indent, ""
@@ -258,7 +276,7 @@ def _render(node: Node, page: _Page, children=None, pre: bool = False) -> None:
             apart = x.name in _APART and not (x.name in ("ul", "ol", "menu") and node.name == "li")
             page.stop(apart and not page.marker)
             if x.name in ("dd", "blockquote"):
-                indent, page.indent = page.indent, page.indent + "    "
+                indent, page.indent = page.indent, _deeper(page.indent, 4)
                 _render(x, page, pre=pre)
                 page.stop(apart)
                 page.indent = indent
@@ -283,14 +301,22 @@ def text(node: Node) -> str:
 
 def render(source: str | None) -> str:
     """Visible text of a page; empty for null."""
-    return text(build(source.replace("\0", "�"))) if isinstance(source, str) else ""
+    if not isinstance(source, str):
+        return ""
+    root, deepest = _build(source.replace("\0", "�"))
+    limit = sys.getrecursionlimit()
+    sys.setrecursionlimit(max(limit, 5 * deepest + 1000))
+    try:
+        return text(root)
+    finally:
+        sys.setrecursionlimit(limit)
 
 
 def extract(pages: DataFrame, html_col: str = "html", name: str = "text") -> DataFrame:
     """pages with their visible text; a column of that name is renamed with a
     leading underscore.  A null or empty page, or one without visible text, has
-    an empty text.  Whole pages are rendered; elements nested deeper than DEPTH
-    become siblings."""
+    an empty text.  Whole pages are rendered, however deep elements nest;
+    indentation grows to INDENT columns only."""
     require(pages, html_col)
     if (new := fresh(pages, name)[0]) != name:
         pages = pages.withColumnsRenamed({c: new for c in pages.columns if c.lower() == name.lower()})

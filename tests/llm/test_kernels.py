@@ -115,3 +115,11 @@ def test_text_of_formulas_and_drawings():
     formula = "<math><semantics><mrow><mi>x</mi><mo>=</mo><mn>2</mn></mrow><annotation>x=2</annotation></semantics></math>"
     assert html_text.render(f"<p>so {formula}.") == "so x=2."
     assert html_text.render("<p>a<svg><title>t</title>z<defs><text>no</text></defs><g><path/><text>one <tspan>two</tspan></text></g><text>three</text></svg>b") == "a one two three b"
+
+
+@pytest.mark.parametrize("depth", [250, 20_000])
+def test_deep_pages(depth):
+    assert html_text.render("<div>" * depth + "<div hidden>no</div>yes") == "yes"
+    nested = ["<ul><li>" + "<span>" * n + "<b>a<ul><li>b</ul>c</b>" + "</span>" * n + "</ul>d" for n in (0, depth)]
+    assert html_text.render(nested[0]) == html_text.render(nested[1]) != ""
+    assert html_text.render("<table><tr><td>" * depth + "x") == "x"
