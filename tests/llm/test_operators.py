@@ -7,6 +7,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from tessera.llm import fingerprints, html_text, line_dedup, mixing, ngram_join, repeats, sharding, toxicity
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -140,3 +141,11 @@ def test_lines_of_a_template(spark):
     for block in (512, 7):
         got = {r.doc_id: r.removed for r in line_dedup.find(spark, docs, block=block).collect()}
         assert got == {i: x for i, x in want.items() if x}
+
+
+def test_near_copies_of_repeated_and_null_ids(spark):
+    a, c, d = (" ".join(f"{x}{k}" for k in range(60)) for x in "acd")
+    given = [(3, c), (5, a), (5, c + " more"), (None, "one " + c), (None, d), (None, d), (7, None), (None, "")]
+    docs = spark.createDataFrame(given, "doc_id long, text string")
+    got = [tuple(r) for r in corpus_pipeline.drop_near_copies(spark, docs, "").collect()]
+    assert sorted(got, key=str) == sorted([(3, c), (5, a), (None, d), (7, None), (None, "")], key=str)
