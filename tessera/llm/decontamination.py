@@ -123,7 +123,8 @@ class Items:
 
     def _rate(self, rows, doc, owner, i, j, words, threshold):
         item = self.words[owner]
-        if len(np.unique(i)) * self.least < threshold * len(item):
+        most = len(np.unique(i)) * self.least  # words that tiles can mark
+        if most < threshold * len(item) and most / len(item) < rows[doc][1]:
             return
         runs = np.flatnonzero((np.diff(j - i) != 0) | (np.diff(i) != 1)) + 1
         matches = []

@@ -123,3 +123,10 @@ def test_deep_pages(depth):
     nested = ["<ul><li>" + "<span>" * n + "<b>a<ul><li>b</ul>c</b>" + "</span>" * n + "</ul>d" for n in (0, depth)]
     assert html_text.render(nested[0]) == html_text.render(nested[1]) != ""
     assert html_text.render("<table><tr><td>" * depth + "x") == "x"
+
+
+def test_coverage_below_the_threshold():
+    item = [f"i{k}" for k in range(20)]
+    own = decontamination.Items([7, 3, 9], [" ".join(item), " ".join(item[:5] + [f"j{k}" for k in range(35)]), "k0 k1 k2 k3"], 4)
+    got = own.best(["x " + " ".join(item[:5]) + " y", " ".join(item[5:9]), "none at all of it", " ".join(item)], 0.5)
+    assert got == [(7, 0.25, 1, 0), (7, 0.2, 1, 0), (None, 0.0, 0, 0), (7, 1.0, 1, 1)]
