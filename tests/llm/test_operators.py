@@ -1,5 +1,6 @@
 """Operators against brute force on small tables with nulls, ties and clashes."""
 
+import base64
 import hashlib
 import random
 import re
@@ -8,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tessera.llm import fingerprints, html_text, line_dedup, mixing, ngram_join, repeats, sharding, toxicity
+from tessera.llm import decontamination, fingerprints, html_text, line_dedup, mixing, ngram_join, repeats, sharding, token_counts, toxicity
 
 WORD = r"[^\x20\x09-\x0D]+"
 SCHEMA = "doc_id long, text string, source string, size string, score string"
@@ -149,3 +150,34 @@ def test_near_copies_of_repeated_and_null_ids(spark):
     docs = spark.createDataFrame(given, "doc_id long, text string")
     got = [tuple(r) for r in corpus_pipeline.drop_near_copies(spark, docs, "").collect()]
     assert sorted(got, key=str) == sorted([(3, c), (5, a), (None, d), (7, None), (None, "")], key=str)
+
+
+def test_token_counts(spark, docs, empty, tmp_path):
+    """Of a vocabulary of single bytes, tokens are bytes."""
+    names = tmp_path / "bytes.tiktoken"
+    names.write_text("".join(f"{base64.b64encode(bytes([k])).decode()} {k}\n" for k in range(256)))
+    own = docs.withColumn("n_tokens", F.lit("x")).unionByName(spark.createDataFrame([(90, "a\n\n\u00e9 b\n", "s", "1", "a", "x")], f"{SCHEMA}, n_tokens string"))
+    got = token_counts.token_counts(spark, own, vocabulary=str(names)).collect()
+    assert len(got) == len(rows()) + 1
+    for r in got:
+        raw = (r.text or "").encode()
+        assert r.n_tokens == len(raw) and r["_n_tokens"] == "x"
+        assert r.section_tokens == [len(x) for x in raw.splitlines(keepends=True)]
+    assert token_counts.token_counts(spark, empty, vocabulary=str(names)).count() == 0
+
+
+def test_leaks_and_mix(spark, docs, empty, tmp_path):
+    item = " ".join(f"i{k}" for k in range(10))
+    benchmark = spark.createDataFrame([(1, item), (2, "a b"), (None, "w3 v3 x3 w4"), (3, None)], "item_id long, text string")
+    given = spark.createDataFrame([(1, f"x {item}", "a"), (2, "i0 i1 i2 I3, i4 z", "a"), (3, "i0 i1 i2 i3 z", "a"), (4, None, "a"), (5, "", "a")], "doc_id long, text string, item_id string")
+    for block_bytes in (1 << 20, 10):
+        got = {r.doc_id: (r.item_id, r.coverage, r.tiles, r["items"], r["_item_id"]) for r in decontamination.coverage(spark, given, benchmark, block_bytes=block_bytes).collect()}
+        assert got == {1: (1, 1.0, 1, 1, "a"), 2: (1, 0.5, 1, 1, "a"), 3: (1, 0.4, 1, 0, "a"), 4: (None, 0.0, 0, 0, "a"), 5: (None, 0.0, 0, 0, "a")}
+    assert decontamination.coverage(spark, empty, benchmark).count() == 0
+    benchmark.write.parquet(str(tmp_path / "benchmark.parquet"))
+    left = corpus_pipeline.drop_leaks(spark, given, str(tmp_path))
+    assert left.columns == given.columns and sorted(r.doc_id for r in left.collect()) == [3, 4, 5]
+    copies = {r.doc_id: r.copies for r in mixing.mix(spark, docs).collect()}
+    mixed = corpus_pipeline.mix_sources(spark, docs, "")
+    ids = [r.doc_id for r in mixed.collect()]
+    assert mixed.columns == docs.columns and {i: ids.count(i) for i in copies} == copies
