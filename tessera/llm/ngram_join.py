@@ -1,18 +1,25 @@
 """N-gram Jaccard join by a count-vector R-tree.
 
-A document is the set of its distinct word shingles.  Shingles fall into GROUPS
-by hash; the counts of a set in the groups are a point.  Two sets share at most
-the sum over groups of the smaller count, so an R-tree over points prunes a node
-if the summed minima with its upper corner stay below the overlap that the
-threshold asks for.  Pairs that survive are verified on the sets.
+A document is the set of its distinct word shingles.  Shingles fall into groups by
+hash, as many groups as keep about eight shingles in each; the counts of a set in
+the groups are a point.  Two sets share at most the sum over groups of the smaller
+count, so an R-tree over points prunes a node if the summed minima with its upper
+corner stay below the overlap that the threshold asks for.  (With a fixed number of
+groups the minima of long unrelated sets would come near their sizes and prune
+nothing.)  Pairs that survive are verified on the sets.
 
 The points meet in many small trees rather than one: sets at the threshold must
 share one of the first n - ceil(t n) + 1 shingles of any common order, so each
-set goes to the trees of these, apart by bands of set size.  The order puts
-shingles last that a bounded sample finds in several documents; any order gives
-the same result.  Equal sets are one
-point.  Trees give a forest of possible links, its components (near-duplicate
-families) are verified each in one place, links grow into components.
+set goes to the trees of these, apart by bands of set size; a tree of one leaf is
+that leaf.  The order puts shingles last that a bounded sample finds in several
+documents; any order gives the same result.  Equal sets are one point.
+
+Where more than a block of sets share a shingle, they first meet their centre, the
+one with most such shingles, and links found bear one label.  Only sets with
+another label than most then meet the rest, block by block.  Trees give a forest of
+possible links between labels, its components (near-duplicate families) are
+verified each in one place, or in blocks of bounded bytes, and links grow into
+components.
 """
 
 from __future__ import annotations
@@ -23,15 +30,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, chunks, components, encoded, grams, lower_ascii, mix, require, span_hashes, word_spans
-from .grouping import dealt, forest
+from .common import Scratch, chunks, components, encoded, grams, lower_ascii, mix, partitions, require, span_hashes, word_spans
+from .grouping import blocks_of, dealt, forest, grow
 
-GROUPS = 64
-LEAF = 16
-_FULL = 65535  # a count that stands for itself or more
+#: Groups of a short set, and shingles a group of a long one.
+GROUPS, FILL = 64, 8
+LEAF = 8
+_MANY = 255  # a count that stands for itself or more
 
 
 def shingle_sets(texts, n: int, lower: bool = True) -> Iterator[np.ndarray]:
@@ -54,8 +63,10 @@ def shingle_sets(texts, n: int, lower: bool = True) -> Iterator[np.ndarray]:
                 yield np.zeros(0, np.uint64)
 
 
-def _point(s: np.ndarray) -> np.ndarray:
-    return np.minimum(np.bincount((s >> np.uint64(20)).astype(np.int64) % GROUPS, minlength=GROUPS), _FULL).astype(np.uint16)
+def point(s: np.ndarray) -> np.ndarray:
+    """Counts of a set in its groups, whose number is a power of two."""
+    groups = max(GROUPS, 1 << max(0, (len(s) // FILL).bit_length()))
+    return np.minimum(np.bincount((s >> np.uint64(20)).astype(np.int64) & (groups - 1), minlength=groups), _MANY).astype(np.uint8)
 
 
 def prefix_length(n: int, percent: int) -> int:
@@ -72,10 +83,16 @@ def size_bands(n: int, percent: int) -> list[int]:
     return list(range(own, high + 1))
 
 
-def _points(payload: pd.Series) -> np.ndarray:
-    p = np.frombuffer(b"".join(payload), np.uint16).reshape(-1, GROUPS).astype(np.int64)
-    p[p == _FULL] = 1 << 40
-    return p
+def folded(points: list[bytes], sizes: np.ndarray, groups: int) -> np.ndarray:
+    """Points as rows of counts in so many groups, at most as many as each has."""
+    out = np.empty((len(points), groups), np.int64)
+    lengths = np.array([len(p) for p in points])
+    for length in np.unique(lengths):
+        at = np.flatnonzero(lengths == length)
+        p = np.frombuffer(b"".join([points[i] for i in at]), np.uint8).reshape(len(at), length).astype(np.int64)
+        p = np.where(p == _MANY, sizes[at][:, None], p)
+        out[at] = p.reshape(len(at), length // groups, groups).sum(axis=1)
+    return out
 
 
 def may_link(pa, na, pb, nb, percent: int) -> np.ndarray:
@@ -95,7 +112,7 @@ class CountTree:
             if len(ids) <= LEAF:
                 leaves.append(ids)
                 continue
-            cut = np.minimum(points[ids], _FULL)
+            cut = points[ids]
             g = np.argmax(cut.max(axis=0) - cut.min(axis=0))
             ids = ids[np.argsort(cut[:, g], kind="stable")]
             todo += [ids[len(ids) // 2 :], ids[: len(ids) // 2]]
@@ -126,32 +143,16 @@ class CountTree:
         return ids[may_link(self.points[ids], self.sizes[ids], point, size, percent)]
 
 
-def _grow(n: int, near) -> list[tuple[int, int]]:
-    """Spanning forest by growing components; near(i, free) gives free partners."""
-    free, out = np.ones(n, bool), []
-    for seed in range(n):
-        if not free[seed]:
-            continue
-        free[seed] = False
-        queue = [seed]
-        while queue and free.any():
-            i = queue.pop()
-            found = near(i, free)
-            free[found] = False
-            out += [(i, int(j)) for j in found]
-            queue += [int(j) for j in found]
-    return out
-
-
-def linked(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
-    """Spanning forest of the links among sorted sets, verified."""
+def linked(sets: list[np.ndarray], labels: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Spanning forest of the links among sorted sets of several labels, verified."""
     size = np.array([len(s) for s in sets])
     flat = np.concatenate(sets)
     start = np.concatenate(([0], np.cumsum(size)[:-1]))
-    tree = CountTree(np.array([_point(s) for s in sets]).astype(np.int64), size) if size.max() < _FULL else None
+    points = [point(s).tobytes() for s in sets]
+    tree = CountTree(folded(points, size, min(map(len, points))), size)
 
     def near(i: int, free: np.ndarray) -> np.ndarray:
-        ids = tree.search(tree.points[i], size[i], percent, free) if tree else np.flatnonzero(free)
+        ids = tree.search(tree.points[i], size[i], percent, free)
         ids = ids[(100 * np.minimum(size[ids], size[i]) >= percent * np.maximum(size[ids], size[i]))]
         if not len(ids):
             return ids
@@ -161,30 +162,50 @@ def linked(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
         shared = np.add.reduceat((sets[i][where] == values).astype(np.int64), np.cumsum(size[ids]) - size[ids])
         return ids[(100 + percent) * shared >= percent * (size[ids] + size[i])]
 
-    return _grow(len(sets), near)
+    return grow(labels, near)
+
+
+def _reach(left: list[np.ndarray], right: list[np.ndarray], percent: int) -> list[bool]:
+    """Whether each two sets link."""
+    out = []
+    for a, b in zip(left, right, strict=True):
+        small, large = min(len(a), len(b)), max(len(a), len(b))
+        shared = len(np.intersect1d(a, b, assume_unique=True)) if small and 100 * small >= percent * large else 0
+        out.append(shared > 0 and (100 + percent) * shared >= percent * (small + large))
+    return out
 
 
 def _possible(percent: int):
     def links(frame: pd.DataFrame) -> list[tuple[int, int]]:
-        points, sizes = _points(frame["payload"]), frame["n"].to_numpy()
+        payload, sizes = frame["payload"].tolist(), frame["n"].to_numpy()
+        points = folded(payload, sizes, min(map(len, payload)))
         tree = CountTree(points, sizes)
-        return _grow(len(frame), lambda i, free: tree.search(points[i], sizes[i], percent, free))
+        return grow(frame["label"].to_numpy(), lambda i, free: tree.search(points[i], sizes[i], percent, free))
 
     def pairs(frame: pd.DataFrame, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        n = frame["n"].to_numpy()
-        ok = 100 * np.minimum(n[left], n[right]) >= percent * np.maximum(n[left], n[right])
-        at = np.flatnonzero(ok)
-        for k in range(0, len(at), 8192):
-            part = at[k : k + 8192]
-            rows, where = np.unique(np.concatenate([left[part], right[part]]), return_inverse=True)
-            points = _points(frame["payload"].iloc[rows])
-            half = len(part)
-            ok[part] = may_link(points[where[:half]], n[left[part]], points[where[half:]], n[right[part]], percent)
+        n, label, payload = frame["n"].to_numpy(), frame["label"].to_numpy(), frame["payload"]
+        ok = (100 * np.minimum(n[left], n[right]) >= percent * np.maximum(n[left], n[right])) & (label[left] != label[right])
+        length = payload.map(len).to_numpy()
+        least = np.minimum(length[left], length[right])
+        for groups in np.unique(least[ok]):
+            at = np.flatnonzero(ok & (least == groups))
+            most = max(1, (4 << 20) // int(groups))
+            for k in range(0, len(at), most // 8 + 1):
+                part = at[k : k + most // 8 + 1]
+                rows, where = np.unique(np.concatenate([left[part], right[part]]), return_inverse=True)
+                points = folded(payload.iloc[rows].tolist(), n[rows], int(groups))
+                half = len(part)
+                ok[part] = may_link(points[where[:half]], n[left[part]], points[where[half:]], n[right[part]], percent)
         return ok
 
     return links, pairs
 
 
+def _digest(s: np.ndarray) -> tuple[int, int]:
+    digest = hashlib.blake2b(s.tobytes(), digest_size=16).digest()
+    return int.from_bytes(digest[:8], "big", signed=True), int.from_bytes(digest[8:], "big", signed=True)
+
+
 def similar(
     spark: SparkSession,
     docs: DataFrame,
@@ -195,26 +216,36 @@ def similar(
     lower: bool = True,
     sample: int = 6000,
     block: int = 1024,
-    family_block: int = 4096,
-    broadcast_rows: int = 100_000,
+    family_block: int = 128,
+    family_bytes: int = 4 << 20,
+    broadcast_rows: int = 300_000,
+    broadcast_bytes: int = 16 << 20,
 ) -> DataFrame:
     """(doc_id, n_shingles, component_id) of each row of docs: the size of its
     set, and the smallest id that links reach.  Two rows link if 100 * shared >=
-    percent * all shingles of both.
+    percent * all shingles of both.  Other columns of docs are not returned.
 
     A null or wordless text has no shingles and links with nothing.  A null id
     takes part in no link and has a null component.  Rows that repeat an id are
-    one node, with the links of all.  An empty table gives no rows.  sample
-    only steers the common order; block and family_block bound the points and the sets
-    that a task holds at a time (half of them); a table of at
-    most broadcast_rows ids goes to all executors, a larger one is shuffled.
+    one node, with the links of all.  An empty table gives no rows.  Ties can't
+    occur: links don't depend on an order.  A text is held whole, however long.
+
+    sample only steers the common order, as do the million shingles most frequent
+    in it; block bounds the points, family_block and family_bytes the sets that a
+    task holds at a time (half of them; a longer set is a block of its own); a
+    table of at most broadcast_rows ids, or of broadcast_bytes of text, goes to all
+    executors, a larger one is shuffled.
     """
     require(docs, id_col, text_col)
     if not 0 < percent <= 100:
         raise ValueError("percent must be in 1 to 100")
     scratch = Scratch(spark, "ngram")
+    tasks = partitions(spark)
     given = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
 
+    def shared_by(df: DataFrame) -> DataFrame:
+        return F.broadcast(df) if df.count() <= broadcast_rows else df
+
     # shingles of more than one class of sampled documents go to the end of the order
     def of_sample(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -224,71 +255,117 @@ def similar(
 
     picked = given.select("doc_id").where("doc_id is not null").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     sampled = given.join(F.broadcast(picked.distinct()), "doc_id").mapInPandas(of_sample, "h long, of long")
-    often = sampled.groupBy("h").agg(F.min("of").alias("a"), F.max("of").alias("b")).where("a <> b").select("h")
-    late = np.sort(often.toArrow()["h"].to_numpy().view(np.uint64))
+    often = sampled.groupBy("h").agg(F.min("of").alias("a"), F.max("of").alias("b"), F.count("*").alias("of")).where("a <> b")
+    often = scratch.table(often.orderBy(F.col("of").desc(), "h").limit(1 << 20).select("h"), "often")
+    late = spark.sparkContext.broadcast(np.sort(often.toArrow()["h"].to_numpy().view(np.uint64)))
 
     def to_sets(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last_ones = late.value
+        row = TaskContext.get().partitionId() << 33
         for frame in frames:
             out = []
             for s in shingle_sets(encoded(frame["text"]), n, lower):
-                digest = hashlib.blake2b(s.tobytes(), digest_size=16).digest()
-                last = late[np.minimum(np.searchsorted(late, s), len(late) - 1)] == s if len(late) else np.zeros(len(s), bool)
+                last = last_ones[np.minimum(np.searchsorted(last_ones, s), len(last_ones) - 1)] == s if len(last_ones) else np.zeros(len(s), bool)
                 first = np.concatenate([s[~last], s[last]])[: prefix_length(len(s), percent)]
                 first = np.concatenate([mix(first ^ np.uint64(band)) for band in size_bands(len(s), percent)] or [first])
-                out.append((len(s), int.from_bytes(digest[:8], "big", signed=True), int.from_bytes(digest[8:], "big", signed=True), _point(s).tobytes(), first.view(np.int64)))
-            yield pd.DataFrame(out, columns=["n", "d1", "d2", "payload", "prefix"]).assign(doc_id=frame["doc_id"].array)
+                out.append((len(s), *_digest(s), point(s).tobytes(), first.view(np.int64)))
+            yield pd.DataFrame(out, columns=["n", "d1", "d2", "payload", "prefix"]).assign(doc_id=frame["doc_id"].array, row=np.arange(row, row + len(frame)))
+            row += len(frame)
 
-    schema = "n long, d1 long, d2 long, payload binary, prefix array<long>, doc_id long"
+    schema = "n long, d1 long, d2 long, payload binary, prefix array<long>, doc_id long, row long"
     sets = scratch.table(given.mapInPandas(to_sets, schema), "sets")
     some = sets.where("n > 0 and doc_id is not null")
-    classes = scratch.table(some.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep")), "classes")
-    reps = some.join(classes.select("d1", "d2", F.col("rep").alias("doc_id")).distinct(), ["d1", "d2", "doc_id"], "left_semi").dropDuplicates(["d1", "d2"])
+    classes = scratch.table(some.groupBy("d1", "d2").agg(F.min(F.struct("doc_id", "row")).alias("first")).select("first.row"), "classes")
+    reps = some.join(shared_by(classes), "row", "left_semi")
     reps = scratch.table(reps.select(F.xxhash64("d1", "d2").alias("node"), "doc_id", "d1", "d2", "n", "payload", "prefix"), "reps")
-
-    keys = scratch.table(reps.select(F.explode("prefix").alias("group"), "node"), "keys")
+    own = reps.select("node", "doc_id", "d1", "d2", "n")
+
+    def texts_of(nodes: DataFrame, name: str) -> DataFrame:
+        """nodes(node, ...) with d1, d2 and their text; a repeated id may bring others."""
+        wanted = scratch.table(nodes.join(own.select("node", "doc_id", "d1", "d2"), "node"), name)
+        return given.join(shared_by(wanted), "doc_id").drop("doc_id")
+
+    def sets_of(frame: pd.DataFrame, text: str = "text", d1: str = "d1", d2: str = "d2") -> list[np.ndarray | None]:
+        found = shingle_sets(encoded(frame[text]), n, lower)
+        return [s if _digest(s) == key else None for s, key in zip(found, zip(frame[d1], frame[d2], strict=True), strict=True)]
+
+    def star(mine: DataFrame) -> DataFrame:
+        """(node, component) of the links that mine(node, group, keys) have with
+        the centre of their group, the member with most keys."""
+        centres = mine.groupBy("group").agg(F.max(F.struct("keys", "node")).alias("c")).select("group", F.col("c.node").alias("centre"))
+        texts = scratch.table(texts_of(mine.select("node", "group"), "mine-ids"), "hot-texts")
+        centres = texts.join(F.broadcast(centres), "group").where("node = centre")
+        centres = scratch.table(centres.select("group", "centre", F.col("text").alias("ct"), F.col("d1").alias("c1"), F.col("d2").alias("c2")), "centres")
+        held = centres.agg(F.coalesce(F.sum(F.octet_length("ct") + 64), F.lit(0))).first()[0]
+        rows = texts.join(F.broadcast(centres) if held <= broadcast_bytes else centres, "group").where("node <> centre")
+
+        def reached(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for frame in frames:
+                once = frame.drop_duplicates("centre")
+                sets = dict(zip(once["centre"], sets_of(once, "ct", "c1", "c2"), strict=True))
+                none = np.zeros(0, np.uint64)
+                left = [none if s is None else s for s in sets_of(frame)]
+                right = [none if sets[c] is None else sets[c] for c in frame["centre"]]
+                ok = _reach(left, right, percent)
+                yield pd.DataFrame({"a": frame["node"][ok], "b": frame["centre"][ok]})
+
+        return components(spark, rows.mapInPandas(reached, "a long, b long"), scratch, "star")
+
+    keys = reps.select(F.explode("prefix").alias("group"), "node")
     shared = scratch.table(keys.groupBy("group").agg(F.count("*").alias("n")).where("n > 1"), "shared")
+    crowded = scratch.table(shared.where(F.col("n") > block).select("group"), "crowded")
+    labels = spark.createDataFrame([], "node long, component long")
+    if n_crowded := crowded.count():
+        crowd = scratch.table(keys.join(F.broadcast(crowded) if n_crowded <= broadcast_rows else crowded, "group"), "crowd")
+        labels = star(scratch.table(crowd.groupBy("node").agg(F.min("group").alias("group"), F.count("*").alias("keys")), "mine"))
+        named = crowd.join(labels, "node", "left").withColumn("label", F.coalesce("component", "node"))
+        cut = scratch.table(blocks_of(named, block), "cut")
+        shared = shared.where(F.col("n") <= block).select("group").unionByName(cut.select("group"))
+    else:
+        cut = spark.createDataFrame([], "group long, major long, blocks int, rest int")
     members = scratch.table(keys.join(shared.select("group"), "group"), "members")
-    rows = members.join(reps.select("node", "n", "payload"), "node")
+    rows = members.join(reps.select("node", "n", "payload"), "node").join(labels, "node", "left")
+    rows = rows.withColumn("label", F.coalesce("component", "node")).drop("component")
     links, pairs = _possible(percent)
-    maybe = forest(dealt(spark, scratch, rows, shared, block), links, pairs)
-    families = components(spark, maybe, scratch, "families")
-    scratch.drop("keys")
+    maybe = forest(dealt(rows, cut.where("blocks > 1"), tasks), links, pairs, LEAF)
+    alike = labels.select(F.col("node").alias("a"), F.col("component").alias("b"))
+    families = components(spark, maybe.unionByName(alike), scratch, "families")
+    scratch.drop("members")
 
     # each family's sets in one place, or in blocks
-    home = reps.select("node", "d1", "d2", F.col("doc_id")).join(families.select("node", F.col("component").alias("group")), "node")
-    home = scratch.table(home, "home")
-    wanted = home.select("doc_id", "node", "group", "d1", "d2")
-    texts = given.join(F.broadcast(wanted) if home.count() <= broadcast_rows else wanted, "doc_id")
-
-    def to_full(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            keep, payload = [], []
-            for k, s in enumerate(shingle_sets(encoded(frame["text"]), n, lower)):
-                digest = hashlib.blake2b(s.tobytes(), digest_size=16).digest()
-                # a repeated id may have other texts
-                if int.from_bytes(digest[:8], "big", signed=True) == frame["d1"].iat[k] and int.from_bytes(digest[8:], "big", signed=True) == frame["d2"].iat[k]:
-                    keep.append(k)
-                    payload.append(s.tobytes())
-            yield frame.iloc[keep][["group", "node"]].assign(payload=payload)
-
-    full = texts.mapInPandas(to_full, "group long, node long, payload binary").dropDuplicates(["node"])
-    full = scratch.table(full, "full")
-    sizes = home.groupBy("group").agg(F.count("*").alias("n"))
+    home = families.select("node", F.col("component").alias("group")).join(own.select("node", (F.col("n") * 8).alias("held")), "node").join(labels, "node", "left")
+    home = scratch.table(home.select("node", "group", "held", F.coalesce("component", "node").alias("label")), "home")
+    cut = scratch.table(blocks_of(home, family_block, "held", family_bytes), "family-cut")
+    mixed = home.join(shared_by(cut.select("group")), "group").select("node", "group", "label")
 
     def verified(frame: pd.DataFrame) -> list[tuple[int, int]]:
-        return linked([np.frombuffer(b, np.uint64) for b in frame["payload"]], percent)
-
-    real = forest(dealt(spark, scratch, full, sizes, family_block), verified)
-    node_of = scratch.table(components(spark, real, scratch, "links"), "components")
+        sets = sets_of(frame)
+        first = ~frame["node"].duplicated().to_numpy()
+        at = [i for i, s in enumerate(sets) if s is not None and first[i]]
+        if len(at) < len(sets):  # of a repeated id, the first that has the text
+            seen: dict[int, int] = {}
+            for i, (s, node) in enumerate(zip(sets, frame["node"], strict=True)):
+                if s is not None:
+                    seen.setdefault(node, i)
+            at = sorted(seen.values())
+        if len(at) < 2:
+            return []
+        found = linked([sets[i] for i in at], frame["label"].to_numpy()[at], percent)
+        return [(at[i], at[j]) for i, j in found]
+
+    real = forest(dealt(texts_of(mixed, "family-ids"), cut.where("blocks > 1"), tasks), verified)
+    node_of = components(spark, real.unionByName(alike), scratch, "links")
 
     # rows of a class are one node each by id; an id with several texts joins its classes
-    linked_reps = reps.select("node", "d1", "d2").join(node_of, "node", "left").select("d1", "d2", F.coalesce("component", "node").alias("component"))
-    rows = scratch.table(sets.join(linked_reps, ["d1", "d2"], "left").select("doc_id", "n", F.when(F.col("n") > 0, F.col("component")).alias("component")), "rows")
-    least = rows.where("component is not null and doc_id is not null").groupBy("component").agg(F.min("doc_id").alias("least"))
-    twice = rows.where("component is not null and doc_id is not null").groupBy("doc_id").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b")
-    least = scratch.table(least, "least")
+    linked_reps = reps.select("node", "d1", "d2").join(shared_by(node_of), "node", "left").select("d1", "d2", F.coalesce("component", "node").alias("component"))
+    rows = sets.select("doc_id", "n", "d1", "d2").join(linked_reps, ["d1", "d2"], "left")
+    rows = scratch.table(rows.select("doc_id", "n", F.when(F.col("doc_id").isNotNull() & (F.col("n") > 0), F.col("component")).alias("component")), "rows")
+    named = rows.where("component is not null")
+    least = scratch.table(named.groupBy("component").agg(F.min("doc_id").alias("least")), "least")
+    twice = named.groupBy("doc_id").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b")
+    twice = scratch.table(twice, "twice")
     if not twice.isEmpty():
-        more = rows.join(twice.select("doc_id", "a"), "doc_id").select("a", F.col("component").alias("b")).where("b is not null")
+        more = named.join(twice.select("doc_id", "a"), "doc_id").select("a", F.col("component").alias("b"))
         wide = components(spark, more, scratch, "ids").select(F.col("node").alias("component"), F.col("component").alias("wide"))
         least = least.join(wide, "component", "left").withColumn("wide", F.coalesce("wide", "component"))
         low = least.groupBy("wide").agg(F.min("least").alias("low"))
