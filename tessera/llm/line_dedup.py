@@ -1,25 +1,25 @@
 """Line dedup by MinHash (DataFrame operations only).
 
-A line's set is its distinct shingles of `k` characters (UTF-16 units).  The 64-bit
-shingle hashes fall into 32 bins of equal width; the least of each bin is one
-minimum hash (one-permutation hashing; an empty bin takes that of the next full
-one).  A band is four bins, neighbours or at a distance of 8; the minima of each of
-the 16 bands are a key.  Eight of these do not overlap and miss 1.5 percent of the
-lines at similarity 0.8; the other eight find most of them.  In each key's bucket
-every line first meets up to four centres (members whose hashes come first in four
-orders).  Pairs whose set sizes rule the threshold out go, the others are verified
-by exact Jaccard similarity, and union-find joins them.  Members of a bucket that
-are no centres and that this leaves apart then meet by an exact join: at the
-threshold two sets share a shingle of their prefixes, rarest shingles first.  So
-every pair of a bucket is compared, ruled out or joined already.  Of each component
-the first line (by document id, then position) stays.
-
-Shingles are rows, not arrays: exploded, hashed and aggregated within one stage,
-where they are compiled code and cross no exchange, as their line's row is already
-where its hash says.
-
-Pairs with centres grow with a bucket's size; those of the exact join with the
-square of the lines that share a rare shingle, which meet in blocks.
+A line's set is its distinct shingles of `k` characters (UTF-16 units).  Its
+signature: the 64-bit hashes of shingles fall into BINS bins of equal width, the
+least of each is one minimum hash (one-permutation hashing; an empty bin takes that
+of the next full one).  Lines of many words give the shingles at the beginnings of
+words, which are the first in the order of their permutation; lines of few words
+give all, lines between give both, so that alike lines have one kind in common.  A
+band is ROWS neighbouring bins, its minima a key: at similarity 0.8, 1.3 percent of
+pairs share no key of one kind.
+
+In each key's bucket every line first meets two centres, the members of least and
+greatest hash.  Pairs are verified by exact Jaccard similarity of whole sets and
+union-find joins them.  Members of a bucket that are no centres and that this leaves
+apart then meet by an exact join: at the threshold two sets share a shingle of
+their prefixes, rarest shingles first.  So every pair of a bucket is compared, ruled
+out or joined already.  Of each component the first line (by row, then position)
+stays.
+
+Line texts cross an exchange only where their line has a candidate.  Pairs with
+centres grow with a bucket's size; those of the exact join with the square of the
+lines that share a rare shingle, which meet in blocks.
 """
 
 from __future__ import annotations
@@ -27,70 +27,74 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, components, require
+from .common import Scratch, components, fresh, keyed, require
 
-BINS = 32
+ROWS = 3
+BINS = 18
 #: Where the bins begin, ascending.
-STARTS = [-(1 << 63) + (b << 59) for b in range(BINS)]
-ROWS = 4
-#: The bins of each band: neighbours, and those at a distance of 8.
-BANDS = [list(range(b, b + ROWS)) for b in range(0, BINS, ROWS)] + [list(range(b, BINS, 8)) for b in range(8)]
-#: A member is a centre if its hash, after one of these flips, is its bucket's least.
-FLIPS = [0, -1, 0x5555555555555555, 0x3333333333333333]
+STARTS = [-(1 << 63) + (b << 64) // BINS for b in range(BINS)]
+#: Lines of at least FEW words give shingles of words, those of fewer than MANY all.
+FEW, MANY = 16, 24
 #: Blanks at the ends of a line.
 BLANKS = " \t\n\x0b\x0c\r"
 
 
-def _shingles(lines: DataFrame, k: int, *keys: str) -> DataFrame:
-    """(keys, h): the hash of every shingle of `line`, repeats included."""
-    units = lines.select(*keys, F.encode("line", "UTF-16BE").alias("u"))
-    last = F.greatest(F.octet_length("u") - (2 * k - 1), F.lit(1))
-    each = units.select(*keys, "u", F.explode(F.sequence(F.lit(1), last, F.lit(2))).alias("i"))
-    return each.select(*keys, F.xxhash64(F.substring("u", F.col("i"), F.lit(2 * k))).alias("h"))
+def _hashes(line: Column, k: int) -> Column:
+    """The hash of every shingle of a line, repeats included."""
+    def of(u: Column) -> Column:
+        last = F.greatest(F.octet_length(u) - (2 * k - 1), F.lit(1))
+        return F.transform(F.sequence(F.lit(1), last, F.lit(2)), lambda i: F.xxhash64(F.substring(u, i, F.lit(2 * k))))
+
+    # a variable of its own, or each shingle would encode the line anew
+    return F.get(F.transform(F.array(F.encode(line, "UTF-16BE")), of), F.lit(0))
 
 
 def _minimum(b: int) -> Column:
     """The least hash from where bin b begins, else the least of all: of columns
-    s (the full bins' minima) and m (s and the beginnings of bins, sorted)."""
+    s (hashes, sorted) and m (s and the beginnings of bins, sorted)."""
     below = F.array_position("m", F.lit(STARTS[b])).cast("int") - F.lit(1 + b)
     return F.coalesce(F.get("s", below), F.get("s", F.lit(0)))
 
 
 def sign(lines: DataFrame, k: int) -> DataFrame:
-    """(l, keys) of every different line of lines(l, line)."""
-    once = lines.groupBy("l").agg(F.first("line").alias("line"))
-    hashed = _shingles(once, k, "l")
-    least = hashed.groupBy("l", (F.shiftright("h", 59) + BINS // 2).alias("bin")).agg(F.min("h").alias("h"))
-    minima = least.groupBy("l").agg(F.sort_array(F.collect_list("h")).alias("s"))
-    starts = F.array(*[F.lit(x) for x in STARTS])
-    sorted_ = minima.select("l", "s", F.sort_array(F.concat("s", starts)).alias("m"))
-    keys = [F.xxhash64(F.lit(i), *[_minimum(b) for b in band]) for i, band in enumerate(BANDS)]
-    return sorted_.select("l", F.array(*keys).alias("keys"))
-
-
-def lines_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, pos, line) of lines that aren't blank, without outer blanks."""
+    """lines(line, ...) without line, with kind and keys: a row for each kind of
+    shingles that the line gives, the first of them marked lead."""
+    others = [c for c in lines.columns if c != "line"]
+    words = F.regexp_extract_all(F.concat(F.lit(" "), "line"), F.lit(f"(?s) (?=(.{{{k}}}))"), F.lit(1))
+    found = lines.select(*others, "line", words.alias("w"))
+    some = F.when(F.size("w") >= FEW, F.struct(F.lit(1).alias("kind"), F.transform("w", lambda x: F.xxhash64(x)).alias("h")))
+    every = F.when(F.size("w") < MANY, F.struct(F.lit(2).alias("kind"), _hashes(F.col("line"), k).alias("h")))
+    kinds = found.select(*others, F.posexplode(F.array_compact(F.array(some, every))).alias("at", "of"))
+    hashed = kinds.select(*others, (F.col("at") == 0).alias("lead"), "of.kind", F.sort_array("of.h").alias("s"))
+    merged = hashed.select("*", F.sort_array(F.concat("s", F.array(*[F.lit(x) for x in STARTS]))).alias("m"))
+    keys = [F.xxhash64("kind", F.lit(b), *[_minimum(x) for x in range(b, b + ROWS)]) for b in range(0, BINS, ROWS)]
+    return merged.select(*others, "lead", "kind", F.array(*keys).alias("keys"))
+
+
+def lines_of(rows: DataFrame, key: str, text_col: str) -> DataFrame:
+    """(row, pos, line, l) of lines that aren't blank, without outer blanks; l
+    stands for the line."""
     text = F.col(text_col)
-    out = docs.where(text.isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.posexplode(F.split(text, "\n", -1)).alias("pos", "line"))
-    return out.withColumn("line", F.btrim("line", F.lit(BLANKS))).where("line <> ''")
+    out = rows.where(text.isNotNull()).select(F.col(key).alias("row"), F.posexplode(F.split(text, "\n", -1)).alias("pos", "line"))
+    out = out.withColumn("line", F.btrim("line", F.lit(BLANKS))).where("line <> ''")
+    return out.withColumn("l", F.xxhash64("line"))
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, k: int, similarity: float) -> DataFrame:
     """(a, b): the pairs(l, c) whose Jaccard similarity reaches the threshold."""
-    # the shingles of both sides of a pair, where the pair is
-    sides = pairs.join(texts, "l").select("l", "c", F.lit(1).alias("side"), "line").unionByName(pairs.join(texts.withColumnRenamed("l", "c"), "c").select("l", "c", F.lit(2).alias("side"), "line"))
-    each = _shingles(sides.repartition("l", "c"), k, "l", "c", "side").groupBy("l", "c", "h").agg(F.bit_or("side").alias("sides"))
-    both = each.groupBy("l", "c").agg(F.count("*").alias("either"), F.count_if(F.col("sides") == 3).alias("both"))
-    return both.where(F.col("both") >= F.lit(similarity) * F.col("either")).select(F.col("l").alias("a"), F.col("c").alias("b"))
+    both = pairs.join(texts, "l").join(texts.select(F.col("l").alias("c"), F.col("line").alias("other")), "c")
+    sets = both.select("l", "c", F.array_distinct(_hashes(F.col("line"), k)).alias("x"), F.array_distinct(_hashes(F.col("other"), k)).alias("y"))
+    shared = sets.select("l", "c", F.size(F.array_intersect("x", "y")).alias("shared"), (F.size("x") + F.size("y")).alias("n"))
+    return shared.where(F.col("shared") >= F.lit(similarity) * (F.col("n") - F.col("shared"))).select(F.col("l").alias("a"), F.col("c").alias("b"))
 
 
-def _apart(banded: DataFrame, centres: DataFrame, wide: DataFrame, families: DataFrame) -> DataFrame:
-    """(l, component): members of the buckets `wide` that are no centres there,
-    where these are of several components."""
-    others = banded.join(wide, "key").join(centres.select("key", F.col("c").alias("l")), ["key", "l"], "left_anti")
-    others = others.join(families.withColumnRenamed("node", "l"), "l", "left").withColumn("component", F.coalesce("component", "l"))
-    several = others.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b")
-    return others.join(several.select("key"), "key").select("l", "component").distinct()
+def _apart(others: DataFrame, families: DataFrame, centres: DataFrame) -> DataFrame:
+    """(l, component): the others(key, l) of buckets whose members, centres
+    included, are of several components."""
+    named = families.withColumnRenamed("node", "l")
+    own = others.join(named, "l", "left").withColumn("component", F.coalesce("component", "l"))
+    several = own.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b")
+    return own.join(several.select("key"), "key").select("l", "component").distinct()
 
 
 def _may_link(shingles: DataFrame, apart: DataFrame, similarity: float, block: int) -> DataFrame:
@@ -116,70 +120,70 @@ def _may_link(shingles: DataFrame, apart: DataFrame, similarity: float, block: i
     return a.join(b, [*same, once, sizes, enough]).select("a.l", F.col("b.l").alias("c")).distinct()
 
 
-def find(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 8, similarity: float = 0.8, broadcast_rows: int = 100_000, block: int = 512) -> DataFrame:
-    """(doc_id, removed): positions, ascending, of lines that repeat an earlier
-    one nearly, for every document that has some.
+def dedup(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 8, similarity: float = 0.8, broadcast_rows: int = 300_000, block: int = 512) -> DataFrame:
+    """docs with n_lines, of the text (null: 0), and removed: the positions,
+    ascending, of lines that repeat an earlier one nearly; a column of docs with
+    such a name is renamed with a leading underscore.
 
-    Blank lines, and null or empty texts, take no part.  Documents with a null id
-    come first; rows that repeat an id share its positions.  Lines of fewer than
-    k characters are one shingle.  An empty table gives no rows."""
+    Blank lines, and null or empty texts, take no part.  Rows come in the order of
+    their ids; those that repeat an id, or have none (these come last), are rows of
+    their own, equal ones in any order.  A tie can't occur: places differ.  Lines
+    of fewer than k characters are one shingle.  A line of any length is one row.
+    An empty table gives no rows.  Tables of at most broadcast_rows ids go to all
+    executors, larger ones are shuffled."""
     require(docs, id_col, text_col)
     scratch = Scratch(spark, "lines")
-    lines = lines_of(docs, id_col, text_col)
-    lines = lines.withColumn("l", F.xxhash64("line"))
-    places = scratch.table(lines.select("l", "id", "pos"), "at")
-    signed = scratch.table(sign(lines.select("l", "line"), k), "signed")
-    seen = scratch.table(places.groupBy("l").agg(F.min(F.struct("id", "pos")).alias("first"), F.count("*").alias("n")), "seen")
+    names = ("n_lines", "removed")
+    clash = {c: n for c, n in zip(names, fresh(docs, *names), strict=True) if c != n}
+    docs = docs.withColumnsRenamed({c: clash[c.lower()] for c in docs.columns if c.lower() in clash})
+    id_col, text_col = clash.get(id_col.lower(), id_col), clash.get(text_col.lower(), text_col)
+    rows, key = keyed(spark, docs, scratch, id_col)
+    lines = lines_of(rows, key, text_col)
+
+    def shared_by(df: DataFrame, n: int | None = None) -> DataFrame:
+        return F.broadcast(df) if (df.count() if n is None else n) <= broadcast_rows else df
+
+    signed = scratch.table(sign(lines, k), "signed")
+    places = signed.where("lead").select("row", "pos", "l")
+    seen = scratch.table(places.groupBy("l").agg(F.min(F.struct("row", "pos")).alias("first"), F.count("*").alias("n")), "seen")
 
     banded = signed.select("l", F.explode("keys").alias("key"))
-    picks = [F.min(F.col("l").bitwiseXOR(F.lit(f))).bitwiseXOR(F.lit(f)).alias(f"c{i}") for i, f in enumerate(FLIPS)]
-    centres = banded.groupBy("key").agg(F.count("*").alias("n"), *picks).where("c0 < c1").withColumn("cs", F.array_distinct(F.array("c0", "c1", "c2", "c3")))
-    centres = scratch.table(centres.select("key", F.explode("cs").alias("c"), (F.col("n") - F.size("cs")).alias("others")), "centres")
-    met = banded.join(F.broadcast(centres) if centres.count() <= broadcast_rows else centres, "key").where("l <> c")
-    met = scratch.table(met.select(F.least("l", "c").alias("l"), F.greatest("l", "c").alias("c")).distinct(), "met")
-
-    wanted = scratch.table(met.select(F.explode(F.array("l", "c")).alias("l")).distinct(), "wanted")
-    few = wanted.count() <= broadcast_rows
-    # each wanted line once: at its first place; a null id compares as itself
-    first = seen.join(F.broadcast(wanted) if few else wanted, "l").select("l", F.col("first.id").alias("i"), F.col("first.pos").alias("p"))
-    found = lines.join(F.broadcast(first) if few else first, "l").where(F.col("id").eqNullSafe(F.col("i")) & (F.col("pos") == F.col("p")))
-    texts = scratch.table(found.groupBy("l").agg(F.first("line").alias("line")), "texts")
-    sizes = _shingles(texts.repartition("l"), k, "l").groupBy("l", "h").agg(F.lit(1).alias("one")).groupBy("l").agg(F.count("*").alias("size"))
-    sizes = scratch.table(sizes, "sizes")
-    sized = met.join(sizes.withColumnRenamed("size", "nl"), "l").join(sizes.select(F.col("l").alias("c"), F.col("size").alias("nc")), "c")
-    pairs = scratch.table(sized.where(F.least("nl", "nc") >= F.lit(similarity) * F.greatest("nl", "nc")).select("l", "c"), "pairs")
+    centres = scratch.table(banded.groupBy("key").agg(F.min("l").alias("a"), F.max("l").alias("b")).where("a <> b"), "centres")
+    met = scratch.table(banded.join(shared_by(centres), "key").where("l <> b").distinct(), "met")
+    # of two members: one pair; of more, each with both centres
+    pairs = met.select("l", F.explode(F.array("a", "b")).alias("c")).where("l <> c").select(F.least("l", "c").alias("l"), F.greatest("l", "c").alias("c"))
+    pairs = scratch.table(pairs.distinct(), "pairs")
+    others = met.where("l <> a").select("key", "l")
+
+    wanted = scratch.table(pairs.select(F.explode(F.array("l", "c")).alias("l")).distinct(), "wanted")
+    n_wanted = wanted.count()
+    # each wanted line once: at its first place
+    first = scratch.table(seen.join(shared_by(wanted, n_wanted), "l").select("l", F.col("first.row").alias("r"), F.col("first.pos").alias("p")), "first")
+    texts = scratch.table(lines.join(shared_by(first, n_wanted), "l").where("row = r and pos = p").select("l", "line"), "texts")
     families = components(spark, _verified(pairs, texts, k, similarity), scratch, "families")
 
     # members that are no centres, where a bucket has several, against each other
-    wide = scratch.table(centres.where("others > 1").select("key").distinct(), "wide")
-    if n_wide := wide.count():
-        apart = scratch.table(_apart(banded, centres, F.broadcast(wide) if n_wide <= broadcast_rows else wide, families), "apart")
-        own = texts.join(F.broadcast(apart) if apart.count() <= broadcast_rows else apart, "l").select("l", "line")
-        shingles = scratch.table(_shingles(own.repartition("l"), k, "l").distinct(), "shingles")
-        more = scratch.table(_may_link(shingles, apart, similarity, block), "more")
-        links = _verified(more, texts, k, similarity).unionByName(families.select(F.col("node").alias("a"), F.col("component").alias("b")))
-        families = components(spark, links, scratch, "joined")
+    if not others.isEmpty():
+        apart = scratch.table(_apart(others, families, centres), "apart")
+        if n_apart := apart.count():
+            own = texts.join(shared_by(apart, n_apart), "l").select("l", F.explode(F.array_distinct(_hashes(F.col("line"), k))).alias("h"))
+            shingles = scratch.table(own, "shingles")
+            more = scratch.table(_may_link(shingles, apart, similarity, block), "more")
+            links = _verified(more, texts, k, similarity).unionByName(families.select(F.col("node").alias("a"), F.col("component").alias("b")))
+            families = components(spark, links, scratch, "joined")
 
     # the first place of each family with more than one occurrence
     place = seen.select("l", "first", "n").join(families.withColumnRenamed("node", "l"), "l", "left").withColumn("component", F.coalesce("component", "l"))
     place = scratch.table(place, "places")
     keep = place.groupBy("component").agg(F.min("first").alias("keep"), F.sum("n").alias("of")).where("of > 1").select("component", "keep")
-    keep = scratch.table(keep, "keep")
     repeated = scratch.table(place.join(keep, "component").select("l", "keep"), "repeated")
-    again = places.join(repeated, "l").where(~(F.col("id").eqNullSafe(F.col("keep.id")) & (F.col("pos") == F.col("keep.pos"))))
-    return again.groupBy(F.col("id").alias("doc_id")).agg(F.array_sort(F.collect_set("pos")).alias("removed"))
-
-
-def counts(docs: DataFrame, removed: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_lines, n_removed, removed) of every row of docs."""
-    own = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.size(F.split(text_col, "\n", -1)), F.lit(0)).alias("n_lines"))
-    out = own.join(removed, own["doc_id"].eqNullSafe(removed["doc_id"]), "left").select(own["doc_id"], "n_lines", F.coalesce("removed", F.array().cast("array<int>")).alias("removed"))
-    return out.withColumn("n_removed", F.size("removed"))
+    again = places.join(repeated, "l").where(~((F.col("row") == F.col("keep.row")) & (F.col("pos") == F.col("keep.pos"))))
+    gone = scratch.table(again.groupBy(F.col("row").alias(key)).agg(F.array_sort(F.collect_list("pos")).alias("gone_")), "gone")
+    counted = rows.withColumn("n_lines", F.coalesce(F.size(F.split(text_col, "\n", -1)), F.lit(0)))
+    return counted.join(gone, key, "left").select(*docs.columns, "n_lines", F.coalesce("gone_", F.array().cast("array<int>")).alias("removed"))
 
 
-def apply(docs: DataFrame, removed: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with the removed lines gone from the text; null texts stay null."""
-    gone = removed.select(F.col("doc_id").alias("gone_id_"), F.col("removed").alias("gone_"))
-    out = docs.join(gone, docs[id_col].eqNullSafe(gone["gone_id_"]), "left")
-    left = F.array_join(F.filter(F.split(text_col, "\n", -1), lambda x, i: ~F.coalesce(F.array_contains("gone_", i), F.lit(False))), "\n")
-    return out.withColumn(text_col, F.when(F.col("gone_").isNull(), F.col(text_col)).otherwise(left)).drop("gone_", "gone_id_")
+def without(text: Column, removed: Column) -> Column:
+    """A text without the lines at the positions removed; null stays null."""
+    left = F.filter(F.split(text, "\n", -1), lambda x, i: ~F.array_contains(removed, i))
+    return F.when(F.size(removed) > 0, F.array_join(left, "\n")).otherwise(text)

@@ -64,8 +64,8 @@ def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
-    out = line_dedup.counts(docs, line_dedup.find(spark, docs))
-    return out.select("doc_id", "n_lines", "n_removed", "removed")
+    out = line_dedup.dedup(spark, docs)
+    return out.select("doc_id", "n_lines", F.size("removed").alias("n_removed"), "removed")
 
 
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
