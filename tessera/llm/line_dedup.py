@@ -34,7 +34,7 @@ BINS = 18
 #: Where the bins begin, ascending.
 STARTS = [-(1 << 63) + (b << 64) // BINS for b in range(BINS)]
 #: Lines of at least FEW words give shingles of words, those of fewer than MANY all.
-FEW, MANY = 16, 24
+FEW, MANY = 24, 32
 #: Blanks at the ends of a line.
 BLANKS = " \t\n\x0b\x0c\r"
 
@@ -101,23 +101,28 @@ def _may_link(shingles: DataFrame, apart: DataFrame, similarity: float, block: i
     """(l, c): all pairs of apart(l, component), of different components, that can
     reach the similarity, given their distinct shingles(l, h).  Two sets at the
     threshold share one of the first n - ceil(t n) + 1 shingles of any common
-    order, here the rarest first; where they first do, what is left of both must
-    suffice.  The lines that share one meet in blocks of about `block`."""
+    order, here the rarest first; where they first do, and only there, they meet,
+    if what is left of both suffices.  The lines that share one meet in blocks of
+    about `block`."""
     often = shingles.groupBy("h").agg(F.count("*").alias("of"))
     ranked = shingles.join(often, "h").groupBy("l").agg(F.sort_array(F.collect_list(F.struct("of", "h"))).alias("s"))
     n = F.size("s")
     prefix = F.slice("s", F.lit(1), n - F.ceil(F.lit(similarity) * n - 1e-9).cast("int") + 1)
-    each = ranked.select("l", n.alias("n"), F.posexplode(prefix).alias("pos", "x")).where("x.of > 1")
-    each = each.join(apart, "l").select("l", "component", "n", (F.col("n") - F.col("pos")).alias("left"), "x.h", F.ceil(F.col("x.of") / block).alias("blocks"))
+    placed = F.transform(prefix, lambda x, i: F.struct(x["of"].alias("of"), x["h"].alias("h"), i.alias("pos")))
+    shared = ranked.select("l", n.alias("n"), F.filter(placed, lambda x: x["of"] > 1).alias("p"))
+    each = shared.select("l", "n", F.col("p.h").alias("all"), F.posexplode("p").alias("at", "x"))
+    before = F.slice("all", F.lit(1), F.col("at")).alias("before")
+    each = each.join(apart, "l").select("l", "component", "n", (F.col("n") - F.col("x.pos")).alias("left"), "x.h", before, F.ceil(F.col("x.of") / block).alias("blocks"))
     own = each.withColumn("own", F.pmod(F.xxhash64("l"), "blocks"))
     dealt = own.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    dealt = dealt.select("l", "component", "n", "left", "h", "own", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
+    dealt = dealt.select("l", "component", "n", "left", "h", "before", "own", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
     a, b = dealt.alias("a"), dealt.alias("b")
     same = [F.col(f"a.{x}") == F.col(f"b.{x}") for x in ("h", "lo", "hi")]
     once = (F.col("a.l") < F.col("b.l")) & (F.col("a.component") != F.col("b.component")) & ((F.col("a.own") != F.col("b.own")) | (F.col("a.lo") == F.col("a.hi")))
     sizes = F.least("a.n", "b.n") >= F.lit(similarity) * F.greatest("a.n", "b.n") - 1e-6
     enough = F.least("a.left", "b.left") * (1 + similarity) >= F.lit(similarity) * (F.col("a.n") + F.col("b.n")) - 1e-6
-    return a.join(b, [*same, once, sizes, enough]).select("a.l", F.col("b.l").alias("c")).distinct()
+    first = ~F.arrays_overlap("a.before", "b.before")
+    return a.join(b, [*same, once, sizes, enough, first]).select("a.l", F.col("b.l").alias("c"))
 
 
 def dedup(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 8, similarity: float = 0.8, broadcast_rows: int = 300_000, block: int = 512) -> DataFrame:
