@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 #: Words are maximal runs of anything but space and the controls 9 to 13.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Bytes of text that a Python kernel works on at a time.
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 18
 
 _own_dirs: dict[str, str] = {}
 
@@ -39,7 +39,7 @@ def shared_dir(spark: SparkSession) -> str:
 #: them again, and Python kernels get batches of bounded bytes.
 _WRITING = {
     "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
-    "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20),
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(2 << 20),
     "spark.sql.execution.arrow.maxRecordsPerBatch": "4096",
 }
 
@@ -123,6 +123,17 @@ def originals(out: DataFrame, docs: DataFrame, *names: str) -> DataFrame:
     return out.select(*[F.col(clash.get(c.lower(), c)).alias(c) for c in docs.columns])
 
 
+def keyed(spark: SparkSession, docs: DataFrame, scratch: Scratch, id_col: str = "doc_id") -> tuple[DataFrame, str]:
+    """docs with a long that tells its rows apart, and that column's name: the id
+    where all differ and none is null, else numbers in the order of the ids, nulls
+    last, equal ones in an order that a rerun repeats."""
+    key = fresh(docs, "row_")[0]
+    if docs.groupBy(id_col).agg(F.count("*").alias("n")).where(F.col(id_col).isNull() | (F.col("n") > 1)).isEmpty():
+        return docs.withColumn(key, F.col(id_col).cast("long")), key
+    ordered = docs.orderBy(F.col(id_col).asc_nulls_last(), F.xxhash64(*docs.columns))
+    return scratch.table(ordered.withColumn(key, F.monotonically_increasing_id()), "rows"), key
+
+
 def literal_rows(rows: list, ddl: str) -> Column:
     """A constant array of structs, for lookups without a join."""
     import json
@@ -161,7 +172,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 def _power(base: np.uint64, n: int, name: str) -> np.ndarray:
     have = _powers.get(name)
     if have is None or len(have) < n:
-        have = np.full(max(n, 1 << 20) + 1, base, np.uint64)
+        have = np.full(max(n, 1 << 18) + 1, base, np.uint64)
         have[0] = 1
         np.multiply.accumulate(have, out=have)
         _powers[name] = have
