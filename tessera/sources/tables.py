@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def read_table(spark: SparkSession, path: str, required: list[str], sep: str = "\t", multiline: bool = True) -> DataFrame:
-    """All-text table with a header; an empty cell of a present column is "".
+def read_table(spark: SparkSession, path: str, required: list[str], sep: str = "\t", multiline: bool = True, strict: bool = False) -> DataFrame:
+    """All-text table with a header; an empty or absent cell is "".  strict: a row
+    with more or fewer cells than the header raises when it is read.
     Raises if a required column is missing or a name is empty or repeated."""
     head = spark.read.text(path).limit(1).collect()
     names = head[0][0].lstrip("﻿").rstrip("\r").split(sep) if head else []
@@ -23,17 +24,23 @@ def read_table(spark: SparkSession, path: str, required: list[str], sep: str = "
     if len(set(names)) < len(names) or "" in names:
         raise ValueError("column names must be distinct and not empty")
     schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
-    return spark.read.csv(path, schema=schema, sep=sep, header=True, quote='"', escape='"', multiLine=multiline)
-
-
-def numbered(df: DataFrame, name: str = "row_no") -> DataFrame:
-    """Consecutive row numbers from 0 in reading order.  Partition sizes are
-    summed on one small frame; rows aren't shuffled."""
-    tagged = df.withColumn("p_", F.spark_partition_id()).withColumn("m_", F.monotonically_increasing_id())
-    sizes = tagged.groupBy("p_").agg(F.count("*").alias("n_"), F.min("m_").alias("low_"))
-    before = Window.orderBy("p_").rowsBetween(Window.unboundedPreceding, -1)
-    base = sizes.withColumn("base_", F.coalesce(F.sum("n_").over(before), F.lit(0))).drop("n_")
-    return tagged.join(F.broadcast(base), "p_").withColumn(name, F.col("base_") + F.col("m_") - F.col("low_")).drop("p_", "m_", "base_", "low_")
+    df = spark.read.csv(path, schema=schema, sep=sep, header=True, quote='"', escape='"', multiLine=multiline, mode="FAILFAST" if strict else "PERMISSIVE")
+    return df.select(*[F.coalesce(F.col(f"`{n}`"), F.lit("")).alias(n) for n in names])
+
+
+def numbered(df: DataFrame, by: list[str], name: str = "row_no") -> DataFrame:
+    """Consecutive row numbers from 0 in the order of by, whose values differ.
+    Ranges are sorted apart; only their sizes meet in one task.  A row's range is
+    known by the least key in it, so it doesn't matter if a rerun cuts ranges
+    elsewhere: rows are numbered in the pass that counts them."""
+    key = F.struct(*by)
+    parts = df.repartitionByRange(*by).withColumn("p_", F.spark_partition_id())
+    own = Window.partitionBy("p_").orderBy(*by)
+    parts = parts.withColumn("i_", F.row_number().over(own) - 1)
+    sizes = parts.groupBy("p_").agg(F.count("*").alias("n_"), F.min(key).alias("low_"))
+    before = Window.orderBy("low_").rowsBetween(Window.unboundedPreceding, -1)
+    base = sizes.withColumn("base_", F.coalesce(F.sum("n_").over(before), F.lit(0))).select("p_", "base_")
+    return parts.join(F.broadcast(base), "p_").withColumn(name, F.col("base_") + F.col("i_")).drop("p_", "i_", "base_")
 
 
 def write_ordered(df: DataFrame, path: str, line_end: str = "\r\n", digits: int | None = 6) -> int:

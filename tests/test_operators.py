@@ -26,7 +26,9 @@ def test_graph_does_not_depend_on_blocks(spark):
     df = spark.createDataFrame(rows, "id long, ord long, words array<long>")
     df = df.withColumn("n", F.aggregate("words", F.lit(0), lambda a, w: a + F.bit_count(w)))
     one = sorted(map(tuple, graph.edges(df, 0.3, blocks=1).collect()))
-    assert one and one == sorted(map(tuple, graph.edges(df, 0.3, blocks=5).collect()))
+    for more in (dict(blocks=5), dict(per_block=7), dict()):
+        assert one and one == sorted(map(tuple, graph.edges(df, 0.3, **more).collect()))
+    assert sorted(map(tuple, graph.edges(df, 0.2, "less", per_block=9).collect())) == sorted(map(tuple, graph.edges(df, 0.2, "less", blocks=1).collect()))
     with pytest.raises(ValueError):
         graph.assert_unique(df.unionByName(df), "id")
     edges = graph.edges(df, 0.3)
@@ -41,8 +43,9 @@ def test_table_reading_and_numbers(spark, tmp_path):
     assert [r.smiles for r in df.collect()] == ["C/C=C\\", 'x"y']
     with pytest.raises(ValueError):
         tables.read_table(spark, str(p), ["nothing"])
+    assert [r.extra for r in df.collect()] == ["1", ""]
     many = spark.range(0, 1000, 1, 7)
-    assert [r.row_no for r in tables.numbered(many).orderBy("id").collect()] == list(range(1000))
+    assert [r.row_no for r in tables.numbered(many, ["id"]).orderBy("id").collect()] == list(range(1000))
 
 
 def test_ordered_csv_bytes(spark, tmp_path):
