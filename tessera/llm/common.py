@@ -87,15 +87,6 @@ class Scratch:
             self._remove(f"{self.root}/{name}")
 
 
-def free_shuffles(spark: SparkSession) -> None:
-    """Lets Spark's cleaner remove the shuffle files of finished steps: it acts
-    when the driver collects its garbage, which may otherwise take long."""
-    import gc
-
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -9,13 +9,17 @@ that decide that it is parsed this way.
 
 A window whose words also occur elsewhere has all symbols whose context lies in
 it elsewhere, too.  The first exchange finds symbols that occur in one document
-only; a window that holds the context of one is not repeated.  The few windows
-left are compared whole in the second exchange.
+only; a window that holds the context of one is not repeated.  The windows left
+are known by what they parse to: their interior symbols, and the words that these
+don't cover.  Equal windows parse alike, so the second exchange, of 64-bit hashes of
+parses, finds the repeats.  Two unlike windows have one hash with chance 2**-64;
+words aren't compared again.
 
 Documents lie in blocks ordered by id.  Per exchange, each block sends its sorted
 distinct keys, packed, to buckets by hash, and gets one bit for each key back:
 other blocks, or earlier blocks, have it.  A key is sent once per block, however
-often it occurs, so a passage in every document loads no task.
+often it occurs, so a passage in every document loads no task.  A block sends a row
+to a bucket only if it has a key for it, so there are never more rows than keys.
 """
 
 from __future__ import annotations
@@ -28,18 +32,19 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import _P, Scratch, encoded, free_shuffles, grams, mix, partitions, require, span_hashes, word_spans
+from .common import _INV_P, _P, Scratch, _power, encoded, keyed, mix, partitions, require, span_hashes, word_spans
 
 ROUNDS = 2
 _FAR = 1 << 60
 
 
 def recompress(words: np.ndarray, doc: np.ndarray, rounds: int = ROUNDS):
-    """(name, context start, context end, doc) of the symbols after the rounds.
-    A context that reaches past its document's ends is that of no other."""
+    """(name, context start, context end, doc, first word, end) of the symbols
+    after the rounds.  A context that reaches past its document's ends is that of no
+    other."""
     x, n = words, len(words)
     lo, hi = np.arange(n, dtype=np.int64), np.arange(1, n + 1, dtype=np.int64)
-    d = doc
+    d, begin = doc, lo
     for r in range(rounds):
         if not len(x):
             break
@@ -50,7 +55,7 @@ def recompress(words: np.ndarray, doc: np.ndarray, rounds: int = ROUNDS):
         first, last = np.append(True, d[s[1:]] != d[s[1:] - 1]), np.append(d[e[:-1]] != d[e[:-1] - 1], True)
         lo = np.where(first, -_FAR, lo[np.maximum(s - 1, 0)])
         hi = np.where(last, _FAR, hi[np.minimum(e, len(x) - 1)])
-        x, d, count = x[s], d[s], e - s
+        x, d, begin, count = x[s], d[s], begin[s], e - s
         many = count > 1
         x = np.where(many, mix(x ^ mix(count.astype(np.uint64) * _P + np.uint64(r + 1))), x)
         # pairs; a symbol alone depends on the neighbour that it could have joined
@@ -64,8 +69,25 @@ def recompress(words: np.ndarray, doc: np.ndarray, rounds: int = ROUNDS):
         hi2 = np.where(right, hi, next_hi)
         lo2 = np.where(right, before_lo, lo)
         keep = ~second
-        x, d, lo, hi = name[keep], d[keep], lo2[keep], hi2[keep]
-    return x, lo, hi, d
+        x, d, lo, hi, begin = name[keep], d[keep], lo2[keep], hi2[keep], begin[keep]
+    return x, lo, hi, d, begin, np.append(begin[1:], n)
+
+
+def window_keys(words: np.ndarray, window: int, name: np.ndarray, lo: np.ndarray, hi: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A hash of each window's parse: of the symbols whose context it holds, by
+    where they begin, and of the words that none of them covers.  Symbols come in
+    order, contexts no longer than a window."""
+    n = len(words) - window + 1
+    power = _power(_P, len(words) + 1, "p")
+    sums = np.zeros(len(words) + 1, np.uint64)
+    np.cumsum(words * power[: len(words)], out=sums[1:])
+    instead = np.zeros(len(name) + 1, np.uint64)
+    np.cumsum(mix(name + np.uint64(1)) * power[begin] - (sums[end] - sums[begin]), out=instead[1:])
+    at = np.arange(n)
+    first = np.searchsorted(lo, at, "left")
+    last = np.maximum(np.searchsorted(hi, at + window, "right"), first)
+    whole = sums[window:] - sums[:n] + instead[last] - instead[first]
+    return mix(whole * _power(_INV_P, len(words) + 1, "inv")[:n])
 
 
 class _Block:
@@ -84,18 +106,18 @@ class _Block:
 
     def symbols(self):
         """Distinct usable symbols: (names, of several documents here), and for
-        each occurrence its name's number and context."""
-        x, lo, hi, d = recompress(self.words, self.doc)
+        each occurrence its name's number, context and extent."""
+        x, lo, hi, d, begin, end = recompress(self.words, self.doc)
         use = hi - lo <= self.window
-        x, lo, hi, d = x[use], lo[use], hi[use], d[use]
+        x, lo, hi, d, begin, end = x[use], lo[use], hi[use], d[use], begin[use], end[use]
         names, number = np.unique(x, return_inverse=True)
         first = np.full(len(names), len(self.texts), np.int64)
         last = np.full(len(names), -1, np.int64)
         np.minimum.at(first, number, d)
         np.maximum.at(last, number, d)
-        return names, first != last, number, lo, hi
+        return names, first != last, number, lo, hi, begin, end
 
-    def candidates(self, names, several, number, lo, hi, elsewhere):
+    def candidates(self, names, several, number, lo, hi, begin, end, elsewhere):
         """(distinct keys, positions, key number of each) of windows that may be
         repeated; elsewhere: symbols that other blocks have."""
         n = len(self.words) - self.window + 1
@@ -109,16 +131,17 @@ class _Block:
         np.add.at(kill, b[fits] + 1, -1)
         whole = self.doc[: n] == self.doc[self.window - 1 :]
         at = np.flatnonzero((np.cumsum(kill[:n]) == 0) & whole)
-        keys, number = np.unique(grams(self.words, self.window)[at], return_inverse=True)
+        parses = window_keys(self.words, self.window, names[number], lo, hi, begin, end)
+        keys, number = np.unique(parses[at], return_inverse=True)
         return keys, at, number
 
 
 def _packed(block: int, keys: np.ndarray, buckets: int) -> pd.DataFrame:
     """Sorted distinct keys cut by bucket: equal ranges of the key space."""
-    edge = [np.uint64((k << 64) // buckets) for k in range(1, buckets)]
-    cut = np.concatenate(([0], np.searchsorted(keys, np.array(edge, np.uint64)) if edge else [], [len(keys)])).astype(np.int64)
-    full = np.flatnonzero(np.diff(cut))
-    return pd.DataFrame({"bucket": full.astype(np.int32), "block": np.full(len(full), block, np.int64), "keys": [keys[cut[k] : cut[k + 1]].tobytes() for k in full]})
+    of = ((keys >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
+    cut = np.concatenate(([0], np.flatnonzero(np.diff(of)) + 1, [len(keys)])) if len(keys) else np.zeros(1, np.int64)
+    full = of[cut[:-1]]
+    return pd.DataFrame({"bucket": full.astype(np.int32), "block": np.full(len(full), block, np.int64), "keys": [keys[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)]})
 
 
 def _answer(earlier: bool):
@@ -161,38 +184,40 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id",
     lie in a window of `window` words which also starts in a document with a
     smaller id; kept joins the others by one space.
 
-    A null or wordless text has no words and an empty kept text.  A null id is
-    smaller than all others.  Rows that repeat an id are equal in rank and take
-    nothing from each other.  An empty table gives no rows.  Answers of at most
+    A null or wordless text has no words and an empty kept text.  Rows that repeat
+    an id, or have none (these come last), are documents of their own, in an order
+    that a rerun repeats.  Other columns are not returned.  A very long text is a
+    block of its own.  An empty table gives no rows.  Answers of at most
     broadcast_bytes go to all executors; larger ones are joined by a shuffle.
     """
     require(docs, id_col, text_col)
     scratch = Scratch(spark, "repeats")
-    given = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("id"), F.col(text_col).alias("text"))
+    rows, key = keyed(spark, docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), scratch)
+    given = rows.select(F.col(key).alias("id"), F.col("doc_id").cast("string").alias("own"), "text")
 
     def to_blocks(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         at = TaskContext.get().partitionId() << 32
-        ids, texts, size = [], [], 0
+        ids, own, texts, size = [], [], [], 0
 
         def row():
-            return pd.DataFrame({"block": [at], "ids": [np.array(ids, np.int64)], "texts": [list(texts)]})
+            return pd.DataFrame({"block": [at], "ids": [np.array(ids, np.int64)], "own": [list(own)], "texts": [list(texts)]})
 
         for frame in frames:
-            for i, t in zip(frame["id"].to_numpy(), encoded(frame["text"]), strict=True):
-                if ids and size >= block_bytes and i != ids[-1]:
+            for i, o, t in zip(frame["id"].to_numpy(), frame["own"], encoded(frame["text"]), strict=True):
+                if ids and size >= block_bytes:
                     yield row()
-                    at, ids, texts, size = at + 1, [], [], 0
+                    at, ids, own, texts, size = at + 1, [], [], [], 0
                 ids.append(i)
+                own.append(o)
                 texts.append(t)
                 size += len(t or b"") + 1
         if ids:
             yield row()
 
     ordered = given.repartitionByRange(partitions(spark), "id").sortWithinPartitions("id")
-    blocks = scratch.table(ordered.mapInPandas(to_blocks, "block long, ids array<long>, texts array<binary>"), "blocks")
-    free_shuffles(spark)
+    blocks = scratch.table(ordered.mapInPandas(to_blocks, "block long, ids array<long>, own array<string>, texts array<binary>"), "blocks")
     total = given.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    buckets = max(1, min(1 << 16, -(-total // bucket_bytes)))
+    buckets = max(1, -(-total // bucket_bytes))
 
     def send_symbols(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -204,7 +229,6 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id",
         got = scratch.table(got, f"{name}-bits")
         got = scratch.table(got.groupBy("block").agg(F.collect_list(F.struct("bucket", "n", "bits")).alias(name)), name)
         scratch.drop(f"{name}-bits")
-        free_shuffles(spark)
         return got
 
     def answered(to: DataFrame, answers: DataFrame, name: str) -> DataFrame:
@@ -225,9 +249,12 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id",
     first = answered(blocks, symbols, "symbols")
     windows = exchanged(first.select("block", "texts", "symbols").mapInPandas(send_windows, wire), True, "windows")
 
+    def frame_of(out: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame(out, columns=["id", "n_words", "n_removed", "kept"])
+
     def finish(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            for ids, texts, symbols, windows in zip(frame["ids"], frame["texts"], frame["symbols"], frame["windows"], strict=True):
+            for ids, named, texts, symbols, windows in zip(frame["ids"], frame["own"], frame["texts"], frame["symbols"], frame["windows"], strict=True):
                 b = _Block(texts, window)
                 found = b.symbols()
                 keys, at, number = b.candidates(*found, _unpacked(symbols, len(found[0])))
@@ -242,17 +269,17 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id",
                 np.add.at(cover, gone + window, -1)
                 removed = np.cumsum(cover[:-1]) > 0
                 out, raw = [], b.buf.tobytes()
-                for k, i in enumerate(ids):
+                for k, i in enumerate(named):
                     s, e = b.at[k], b.at[k + 1]
                     r = removed[s:e]
                     kept = b" ".join([raw[x:y] for x, y in zip(b.starts[s:e][~r].tolist(), b.ends[s:e][~r].tolist(), strict=True)])
                     out.append((i, int(e - s), int(r.sum()), kept.decode("utf-8", "surrogatepass")))
                     if len(out) >= 256:
-                        yield pd.DataFrame(out, columns=["id", "n_words", "n_removed", "kept"])
+                        yield frame_of(out)
                         out = []
                 if out:
-                    yield pd.DataFrame(out, columns=["id", "n_words", "n_removed", "kept"])
+                    yield frame_of(out)
 
     last = answered(first, windows, "windows")
-    out = last.select("ids", "texts", "symbols", "windows").mapInPandas(finish, "id long, n_words long, n_removed long, kept string")
-    return out.select(F.nullif("id", F.lit(-(1 << 63))).alias("doc_id"), "n_words", "n_removed", "kept")
+    out = last.select("ids", "own", "texts", "symbols", "windows").mapInPandas(finish, "id string, n_words long, n_removed long, kept string")
+    return out.select(F.col("id").cast("long").alias("doc_id"), "n_words", "n_removed", "kept")

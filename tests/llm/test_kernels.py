@@ -17,7 +17,7 @@ def test_contexts_of_symbols_are_sound():
         r = random.Random(seed)
         pad = np.array([r.randrange(6) for _ in range(20)], np.uint64)
         words = np.concatenate([pad, shared, pad])
-        x, lo, hi, _ = repeats.recompress(words, np.zeros(len(words), np.int64))
+        x, lo, hi, *_ = repeats.recompress(words, np.zeros(len(words), np.int64))
         inside = (lo >= 20) & (hi <= 60)
         parsed.append(list(zip(x[inside], lo[inside], hi[inside], strict=True)))
     assert parsed[0] and parsed[0] == parsed[1]
