@@ -90,10 +90,13 @@ def fit(rows: list[np.ndarray], toxic: np.ndarray, alpha: float = 1.0, l2: float
 
 def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most: int = 1500) -> Model:
     """Fits on at most `most` labelled rows of each class.  Labels other than 0
-    and 1, and null ids or texts, are left out."""
+    and 1, and null ids or texts, are left out.  A row labelled both ways counts in
+    both classes; of rows that repeat an id the smallest text counts.  An empty
+    table, or one class only, gives the smoothed share as every score.  A very long
+    text is hashed whole."""
     require(docs, id_col, text_col)
     require(labels, id_col, label_col)
-    known = labels.select(F.col(id_col).alias("i"), F.col(label_col).cast("int").alias("y")).where("i is not null and y in (0, 1)")
+    known = labels.select(F.col(id_col).alias("i"), F.col(label_col).cast("int").alias("y")).where("i is not null and y in (0, 1)").distinct()
     by = F.xxhash64("i", F.lit(3))
     one = known.where("y = 1").orderBy(by, "i").limit(most)
     none = known.where("y = 0").orderBy(by, "i").limit(most)
@@ -104,7 +107,8 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, id_col: str =
         return pd.Series([features(t).astype(np.int32) for t in texts])
 
     rows = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).join(sample, "i").where("t is not null")
-    got = rows.limit(4 * most).select("i", "y", hashed("t").alias("f")).toArrow()
+    once = rows.groupBy("i", "y").agg(F.min("t").alias("t"))
+    got = once.select("i", "y", hashed("t").alias("f")).toArrow()
     order = sorted(range(len(got)), key=lambda k, i=got["i"].to_pylist(), y=got["y"].to_pylist(): (i[k], y[k]))
     sets = [part.slice(k, 1).flatten().to_numpy() for part in got["f"].chunks for k in range(len(part))]
     return fit([sets[k] for k in order], got["y"].to_numpy()[order].astype(np.int64))
