@@ -68,7 +68,7 @@ class Items:
 
     def __init__(self, ids: list[int], texts: list[str], least: int):
         self.least = least
-        self.ids, self.words = [], []
+        self.ids, self.words, self.spelt = [], [], []
         hashes, owner, place = [], [], []
         for i, raw in zip(ids, _lowered(texts), strict=True):
             buf = np.frombuffer(raw + b"\n", np.uint8)
@@ -82,6 +82,7 @@ class Items:
                 place.append(np.arange(len(g)))
             self.ids.append(i)
             self.words.append(w)
+            self.spelt.append([raw[a:b] for a, b in zip(*_words(buf), strict=True)])
         flat = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
         order = np.argsort(flat, kind="stable")
         self.seeds, first = np.unique(flat[order], return_index=True)
@@ -117,11 +118,11 @@ class Items:
                 cut = np.flatnonzero((np.diff(doc) != 0) | (np.diff(owner) != 0)) + 1
                 for s, e in zip(np.append(0, cut), np.append(cut, len(doc)), strict=True):
                     if e > s:
-                        self._rate(rows, int(doc[s]), int(owner[s]), i[s:e], j[s:e], words, threshold)
+                        self._rate(rows, int(doc[s]), int(owner[s]), i[s:e], j[s:e], words, buf, starts, ends, threshold)
             out += rows
         return out
 
-    def _rate(self, rows, doc, owner, i, j, words, threshold):
+    def _rate(self, rows, doc, owner, i, j, words, buf, starts, ends, threshold):
         item = self.words[owner]
         most = len(np.unique(i)) * self.least  # words that tiles can mark
         if most < threshold * len(item) and most / len(item) < rows[doc][1]:
@@ -130,7 +131,8 @@ class Items:
         matches = []
         for s, e in zip(np.append(0, runs), np.append(runs, len(i)), strict=True):
             n = int(e - s) + self.least - 1
-            if (item[i[s] : i[s] + n] == words[j[s] : j[s] + n]).all():
+            a, b = int(i[s]), int(j[s])
+            if (item[a : a + n] == words[b : b + n]).all() and all(buf[starts[b + k] : ends[b + k]].tobytes() == self.spelt[owner][a + k] for k in range(n)):
                 matches.append((int(i[s]), int(j[s]), n))
         tiles = tile(matches, self.least, len(item))
         coverage = sum(n for _, _, n in tiles) / len(item)
