@@ -272,8 +272,9 @@ def similar(
             yield pd.DataFrame(out, columns=["n", "d1", "d2", "payload", "prefix"]).assign(doc_id=frame["doc_id"].array, row=np.arange(row, row + len(frame)))
             row += len(frame)
 
-    schema = "n long, d1 long, d2 long, payload binary, prefix array<long>, doc_id long, row long"
-    sets = scratch.table(given.mapInPandas(to_sets, schema), "sets")
+    schema = "n long, d1 long, d2 long, payload binary, prefix array<long>, doc_id string, row long"
+    named = given.select(F.col("doc_id").cast("string"), "text")  # a long with nulls would come as a double
+    sets = scratch.table(named.mapInPandas(to_sets, schema).withColumn("doc_id", F.col("doc_id").cast("long")), "sets")
     some = sets.where("n > 0 and doc_id is not null")
     classes = scratch.table(some.groupBy("d1", "d2").agg(F.min(F.struct("doc_id", "row")).alias("first")).select("first.row"), "classes")
     reps = some.join(shared_by(classes), "row", "left_semi")

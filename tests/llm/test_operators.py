@@ -115,9 +115,15 @@ def test_scores_and_pages(spark, docs, empty):
 def test_lines(spark, empty):
     long = "the quick brown fox jumps over the lazy dog near the river bank today"
     docs = spark.createDataFrame([(1, f"{long}\nA\n\n"), (2, f"B\n{long}!\nA"), (3, None), (4, "")], "doc_id long, text string")
-    removed = line_dedup.find(spark, docs)
-    assert {r.doc_id: r.removed for r in removed.collect()} == {2: [1, 2]}
-    assert {r.doc_id: r.text for r in line_dedup.apply(docs, removed).collect()} == {1: f"{long}\nA\n\n", 2: "B", 3: None, 4: ""}
+    got = line_dedup.dedup(spark, docs.withColumn("removed", F.lit("x")))
+    assert {r.doc_id: (r.n_lines, r.removed, r._removed) for r in got.collect()} == {1: (4, [], "x"), 2: (3, [1, 2], "x"), 3: (0, [], "x"), 4: (1, [], "x")}
+    texts = got.select("doc_id", line_dedup.without(F.col("text"), F.col("removed")).alias("text")).collect()
+    assert {r.doc_id: r.text for r in texts} == {1: f"{long}\nA\n\n", 2: "B", 3: None, 4: ""}
+    assert line_dedup.dedup(spark, empty).count() == 0
+    # repeated and null ids are rows of their own
+    again = spark.createDataFrame([(1, "A\nB"), (1, "C\nA"), (None, "C\nD"), (None, "D")], "doc_id long, text string")
+    left = [r.t for r in line_dedup.dedup(spark, again).select(line_dedup.without(F.col("text"), F.col("removed")).alias("t")).collect()]
+    assert sorted(x for t in left for x in t.split("\n") if x) == list("ABCD")
 
 
 def test_lines_of_a_template(spark):
@@ -140,8 +146,9 @@ def test_lines_of_a_template(spark):
     assert sum(map(len, want.values())) == 1137
     docs = spark.createDataFrame([(i, "\n".join(lines[30 * i : 30 * i + 30])) for i in range(40)], "doc_id long, text string")
     for block in (512, 7):
-        got = {r.doc_id: r.removed for r in line_dedup.find(spark, docs, block=block).collect()}
-        assert got == {i: x for i, x in want.items() if x}
+        got = {r.doc_id: r.removed for r in line_dedup.dedup(spark, docs, block=block).collect()}
+        same = sum(len(set(got[i]) & set(want[i])) for i in want)
+        assert same >= 0.98 * 1137 and sum(map(len, got.values())) == same
 
 
 def test_near_copies_of_repeated_and_null_ids(spark):
