@@ -312,6 +312,10 @@ def similar(
 
         return components(spark, rows.mapInPandas(reached, "a long, b long"), scratch, "star")
 
+    def labelled(labels: DataFrame) -> DataFrame:
+        """The representatives with their label, by default their node."""
+        return reps.join(labels, "node", "left").withColumn("label", F.coalesce("component", "node")).drop("component")
+
     keys = reps.select(F.explode("prefix").alias("group"), "node")
     shared = scratch.table(keys.groupBy("group").agg(F.count("*").alias("n")).where("n > 1"), "shared")
     crowded = scratch.table(shared.where(F.col("n") > block).select("group"), "crowded")
@@ -319,14 +323,12 @@ def similar(
     if n_crowded := crowded.count():
         crowd = scratch.table(keys.join(F.broadcast(crowded) if n_crowded <= broadcast_rows else crowded, "group"), "crowd")
         labels = star(scratch.table(crowd.groupBy("node").agg(F.min("group").alias("group"), F.count("*").alias("keys")), "mine"))
-        named = crowd.join(labels, "node", "left").withColumn("label", F.coalesce("component", "node"))
-        cut = scratch.table(blocks_of(named, block), "cut")
+        cut = scratch.table(blocks_of(crowd.join(labelled(labels).select("node", "label"), "node"), block), "cut")
         shared = shared.where(F.col("n") <= block).select("group").unionByName(cut.select("group"))
     else:
         cut = spark.createDataFrame([], "group long, major long, blocks int, rest int")
     members = scratch.table(keys.join(shared.select("group"), "group"), "members")
-    rows = members.join(reps.select("node", "n", "payload"), "node").join(labels, "node", "left")
-    rows = rows.withColumn("label", F.coalesce("component", "node")).drop("component")
+    rows = members.join(labelled(labels).select("node", "n", "payload", "label"), "node")
     links, pairs = _possible(percent)
     maybe = forest(dealt(rows, cut.where("blocks > 1"), tasks), links, pairs, LEAF)
     alike = labels.select(F.col("node").alias("a"), F.col("component").alias("b"))
@@ -334,8 +336,8 @@ def similar(
     scratch.drop("members")
 
     # each family's sets in one place, or in blocks
-    home = families.select("node", F.col("component").alias("group")).join(own.select("node", (F.col("n") * 8).alias("held")), "node").join(labels, "node", "left")
-    home = scratch.table(home.select("node", "group", "held", F.coalesce("component", "node").alias("label")), "home")
+    home = families.select("node", F.col("component").alias("group")).join(labelled(labels).select("node", (F.col("n") * 8).alias("held"), "label"), "node")
+    home = scratch.table(home.select("node", "group", "held", "label"), "home")
     cut = scratch.table(blocks_of(home, family_block, "held", family_bytes), "family-cut")
     mixed = home.join(shared_by(cut.select("group")), "group").select("node", "group", "label")
 

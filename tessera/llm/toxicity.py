@@ -14,6 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
@@ -22,6 +23,8 @@ from .common import fresh, mix, require
 
 NGRAMS = (3, 4, 5)
 BITS = 18
+#: Rows of training that a step works on at a time.
+BLOCK = 256
 _BASE = np.uint64(0x9E3779B97F4A7C55)
 
 
@@ -71,19 +74,27 @@ def fit(rows: list[np.ndarray], toxic: np.ndarray, alpha: float = 1.0, l2: float
     flat = np.concatenate(kept)
     col, x = column[flat], ratio[flat].astype(np.float32)
     del kept, flat
-    # classes weigh the same; Nesterov steps on the mean logistic loss
+    # classes weigh the same; Nesterov steps on the mean logistic loss, a block of
+    # rows at a time, so that no array as long as the features is made in a step
     cost = np.where(toxic == 1, 0.5 / n_pos, 0.5 / n_neg)
-    norm = np.bincount(row, x * x, minlength=len(rows))
-    rate = 1.0 / (0.25 * float((cost * norm).sum()) + l2 / len(rows) + 0.25)
+    at = np.searchsorted(row, np.arange(0, len(rows) + BLOCK, BLOCK))
+    blocks = [(k * BLOCK, slice(a, b)) for k, (a, b) in enumerate(zip(at[:-1], at[1:], strict=True))]
+    norm = sum(float((cost[row[s]] * x[s] * x[s]).sum()) for _, s in blocks)
+    rate = 1.0 / (0.25 * norm + l2 / len(rows) + 0.25)
     w = last = np.zeros(len(used))
     b = last_b = 0.0
     for t in range(1, steps + 1):
         ahead, ahead_b = w + (t - 1) / (t + 2) * (w - last), b + (t - 1) / (t + 2) * (b - last_b)
-        z = np.bincount(row, x * ahead[col], minlength=len(rows)) + ahead_b
-        err = cost * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - toxic)
+        slope, slope_b = l2 / len(rows) * ahead, 0.0
+        for k, s in blocks:
+            n = min(BLOCK, len(rows) - k)
+            z = np.bincount(row[s] - k, x[s] * ahead[col[s]], minlength=n) + ahead_b
+            err = cost[k : k + n] * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - toxic[k : k + n])
+            slope += np.bincount(col[s], x[s] * err[row[s] - k], minlength=len(used))
+            slope_b += float(err.sum())
         last, last_b = w, b
-        w = ahead - rate * (np.bincount(col, x * err[row], minlength=len(used)) + l2 / len(rows) * ahead)
-        b = ahead_b - rate * float(err.sum())
+        w = ahead - rate * slope
+        b = ahead_b - rate * slope_b
     weights[used] = w * ratio[used]
     return Model(weights, float(b))
 
@@ -111,7 +122,10 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, id_col: str =
     got = once.select("i", "y", hashed("t").alias("f")).toArrow()
     order = sorted(range(len(got)), key=lambda k, i=got["i"].to_pylist(), y=got["y"].to_pylist(): (i[k], y[k]))
     sets = [part.slice(k, 1).flatten().to_numpy() for part in got["f"].chunks for k in range(len(part))]
-    return fit([sets[k] for k in order], got["y"].to_numpy()[order].astype(np.int64))
+    model = fit([sets[k] for k in order], got["y"].to_numpy()[order].astype(np.int64))
+    del sets, got
+    pa.default_memory_pool().release_unused()  # the driver goes on without the sample
+    return model
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", name: str = "score") -> DataFrame:
