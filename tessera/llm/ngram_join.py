@@ -319,14 +319,14 @@ def similar(
     keys = reps.select(F.explode("prefix").alias("group"), "node")
     shared = scratch.table(keys.groupBy("group").agg(F.count("*").alias("n")).where("n > 1"), "shared")
     crowded = scratch.table(shared.where(F.col("n") > block).select("group"), "crowded")
-    labels = spark.createDataFrame([], "node long, component long")
+    labels = reps.select("node", F.col("node").alias("component")).where("false")
     if n_crowded := crowded.count():
         crowd = scratch.table(keys.join(F.broadcast(crowded) if n_crowded <= broadcast_rows else crowded, "group"), "crowd")
         labels = star(scratch.table(crowd.groupBy("node").agg(F.min("group").alias("group"), F.count("*").alias("keys")), "mine"))
         cut = scratch.table(blocks_of(crowd.join(labelled(labels).select("node", "label"), "node"), block), "cut")
         shared = shared.where(F.col("n") <= block).select("group").unionByName(cut.select("group"))
     else:
-        cut = spark.createDataFrame([], "group long, major long, blocks int, rest int")
+        cut = shared.where("false").select("group", F.col("group").alias("major"), F.lit(0).alias("blocks"), F.lit(0).alias("rest"))
     members = scratch.table(keys.join(shared.select("group"), "group"), "members")
     rows = members.join(labelled(labels).select("node", "n", "payload", "label"), "node")
     links, pairs = _possible(percent)
