@@ -4,10 +4,14 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import ctypes
+import functools
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -143,6 +147,26 @@ def position_in(splitters: Column, n: int, key: Column) -> Column:
     )
 
 
+def tidy(kernel: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """A kernel of a partition that then gives its free memory back: the worker
+    waits for its next task beside the JVM."""
+
+    @functools.wraps(kernel)
+    def run(frames: Iterator) -> Iterator:
+        yield from kernel(frames)
+        release()
+
+    return run
+
+
+def release() -> None:
+    """Returns what numpy and Arrow have freed to the system."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim is not None:
+        trim(0)
+
+
 # -- text kernels over UTF-8 bytes (executors, numpy) ---------------------------
 
 _P = np.uint64(0x9E3779B97F4A7C55)

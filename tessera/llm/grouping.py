@@ -17,6 +17,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import tidy
+
 
 def blocks_of(members: DataFrame, block: int, size: str | None = None, block_bytes: int = 1) -> DataFrame:
     """(group, major, blocks, rest): the groups of members(group, label) that have
@@ -89,7 +91,7 @@ def forest(rows: DataFrame, links: Links, pairs: Callable[[pd.DataFrame, np.ndar
                 out = pd.DataFrame({"a": np.concatenate(a), "b": np.concatenate(b)})
                 yield out.drop_duplicates()
 
-    return rows.mapInPandas(run, "a long, b long")
+    return rows.mapInPandas(tidy(run), "a long, b long")
 
 
 def grow(labels: np.ndarray, near: Callable[[int, np.ndarray], np.ndarray]) -> list[tuple[int, int]]:

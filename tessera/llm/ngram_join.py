@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, chunks, components, encoded, grams, lower_ascii, mix, partitions, require, span_hashes, word_spans
+from .common import Scratch, chunks, components, encoded, grams, lower_ascii, mix, partitions, require, span_hashes, tidy, word_spans
 from .grouping import blocks_of, dealt, forest, grow
 
 #: Groups of a short set, and shingles a group of a long one.
@@ -254,7 +254,7 @@ def similar(
                 yield pd.DataFrame({"h": s.view(np.int64), "of": s[:1].view(np.int64).repeat(len(s))})
 
     picked = given.select("doc_id").where("doc_id is not null").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    sampled = given.join(F.broadcast(picked.distinct()), "doc_id").mapInPandas(of_sample, "h long, of long")
+    sampled = given.join(F.broadcast(picked.distinct()), "doc_id").mapInPandas(tidy(of_sample), "h long, of long")
     often = sampled.groupBy("h").agg(F.min("of").alias("a"), F.max("of").alias("b"), F.count("*").alias("of")).where("a <> b")
     often = scratch.table(often.orderBy(F.col("of").desc(), "h").limit(1 << 20).select("h"), "often")
     late = spark.sparkContext.broadcast(np.sort(often.toArrow()["h"].to_numpy().view(np.uint64)))
@@ -274,7 +274,7 @@ def similar(
 
     schema = "n long, d1 long, d2 long, payload binary, prefix array<long>, doc_id string, row long"
     named = given.select(F.col("doc_id").cast("string"), "text")  # a long with nulls would come as a double
-    sets = scratch.table(named.mapInPandas(to_sets, schema).withColumn("doc_id", F.col("doc_id").cast("long")), "sets")
+    sets = scratch.table(named.mapInPandas(tidy(to_sets), schema).withColumn("doc_id", F.col("doc_id").cast("long")), "sets")
     some = sets.where("n > 0 and doc_id is not null")
     classes = scratch.table(some.groupBy("d1", "d2").agg(F.min(F.struct("doc_id", "row")).alias("first")).select("first.row"), "classes")
     reps = some.join(shared_by(classes), "row", "left_semi")
@@ -310,7 +310,7 @@ def similar(
                 ok = _reach(left, right, percent)
                 yield pd.DataFrame({"a": frame["node"][ok], "b": frame["centre"][ok]})
 
-        return components(spark, rows.mapInPandas(reached, "a long, b long"), scratch, "star")
+        return components(spark, rows.mapInPandas(tidy(reached), "a long, b long"), scratch, "star")
 
     def labelled(labels: DataFrame) -> DataFrame:
         """The representatives with their label, by default their node."""

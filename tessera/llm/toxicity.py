@@ -19,12 +19,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from .common import fresh, mix, require
+from .common import fresh, mix, release, require
 
 NGRAMS = (3, 4, 5)
 BITS = 18
 #: Rows of training that a step works on at a time.
 BLOCK = 256
+#: Characters of a text that are hashed at a time.
+PIECE = 1 << 16
 _BASE = np.uint64(0x9E3779B97F4A7C55)
 
 
@@ -35,18 +37,22 @@ class Model:
 
 
 def features(text: str | None, keep: np.ndarray | None = None) -> np.ndarray:
-    """Distinct feature numbers of a text; of those marked in keep only, if given."""
+    """Distinct feature numbers of a text; of those marked in keep only, if given.
+    A long text is hashed a PIECE at a time, with no n-gram left out between two."""
     if not isinstance(text, str) or not text:
         return np.zeros(0, np.int64)
-    codes = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64) + np.uint64(1)
-    found, rolled = [], codes
-    for n in range(2, max(NGRAMS) + 1):
-        if len(codes) < n:
-            break
-        rolled = rolled[: len(codes) - n + 1] * _BASE + codes[n - 1 :]
-        if n in NGRAMS:
-            at = (mix(rolled + np.uint64(n)) >> np.uint64(64 - BITS)).astype(np.int64)
-            found.append(at if keep is None else at[keep[at]])
+    text, found = text.lower(), []
+    for start in range(0, len(text), PIECE):
+        # n-grams that begin in the piece
+        codes = np.frombuffer(text[start : start + PIECE + max(NGRAMS) - 1].encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64) + np.uint64(1)
+        rolled = codes
+        for n in range(2, max(NGRAMS) + 1):
+            if len(codes) < n:
+                break
+            rolled = rolled[: len(codes) - n + 1] * _BASE + codes[n - 1 :]
+            if n in NGRAMS:
+                at = (mix(rolled + np.uint64(n)) >> np.uint64(64 - BITS)).astype(np.int64)
+                found.append(np.unique(at if keep is None else at[keep[at]]))
     return np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
 
 
@@ -115,7 +121,9 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, id_col: str =
 
     @pandas_udf("array<int>")
     def hashed(texts: pd.Series) -> pd.Series:
-        return pd.Series([features(t).astype(np.int32) for t in texts])
+        out = pd.Series([features(t).astype(np.int32) for t in texts])
+        release()
+        return out
 
     rows = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).join(sample, "i").where("t is not null")
     once = rows.groupBy("i", "y").agg(F.min("t").alias("t"))
@@ -141,6 +149,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", name: str = "sc
     @pandas_udf("double")
     def scored(texts: pd.Series) -> pd.Series:
         z = np.array([bias + float(weights[features(t, keep)].sum()) for t in texts], np.float64)
+        release()
         return pd.Series(1 / (1 + np.exp(-np.clip(z, -500, 500))))
 
     return docs.withColumn(name, scored(F.col(text_col)))
