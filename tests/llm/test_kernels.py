@@ -130,3 +130,14 @@ def test_coverage_below_the_threshold():
     own = decontamination.Items([7, 3, 9], [" ".join(item), " ".join(item[:5] + [f"j{k}" for k in range(35)]), "k0 k1 k2 k3"], 4)
     got = own.best(["x " + " ".join(item[:5]) + " y", " ".join(item[5:9]), "none at all of it", " ".join(item)], 0.5)
     assert got == [(7, 0.25, 1, 0), (7, 0.2, 1, 0), (None, 0.0, 0, 0), (7, 1.0, 1, 1)]
+
+
+def test_features_of_a_long_text_are_those_of_its_pieces(monkeypatch):
+    text = "Straße, ΣΑΣ and 𝒳 words that go on " * 30
+    whole = toxicity.features(text)
+    keep = np.zeros(1 << toxicity.BITS, bool)
+    keep[whole[::3]] = True
+    for piece in (1, 4, 7, 64):
+        monkeypatch.setattr(toxicity, "PIECE", piece)
+        assert toxicity.features(text).tolist() == whole.tolist()
+        assert toxicity.features(text, keep).tolist() == whole[::3].tolist()
