@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontamination, fingerprints, html_text, line_dedup, mixing, ngram_join, repeats, sharding, token_counts, toxicity
+from .common import Scratch
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -38,7 +39,9 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
     model = toxicity.train(spark, docs, _read(spark, sf_dir, "labels").where(~_held_out()))
     out = toxicity.score(docs, model)
-    return out.select("doc_id", _held_out().alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+    out = out.select("doc_id", _held_out().alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+    # scored as it is written, so that the kernel gets batches of bounded bytes
+    return Scratch(spark, "toxicity").table(out, "scores")
 
 
 def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
