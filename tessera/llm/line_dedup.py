@@ -12,18 +12,20 @@ pairs share no key of one kind.
 In each key's bucket every line first meets two centres, the members of least and
 greatest hash.  Pairs are verified by exact Jaccard similarity of whole sets and
 union-find joins them.  Members of a bucket that are no centres and that this leaves
-apart then meet by an exact join: at the threshold two sets share a shingle of
-their prefixes, rarest shingles first.  So every pair of a bucket is compared, ruled
-out or joined already.  Of each component the first line (by row, then position)
+apart then meet each other: bitmaps of their shingles bound what a pair can share,
+and pairs that may reach the threshold are verified.  So every pair of a bucket is
+compared, ruled out by a sound bound or joined already.  Of each component the first line (by row, then position)
 stays.
 
 Line texts cross an exchange only where their line has a candidate.  Pairs with
-centres grow with a bucket's size; those of the exact join with the square of the
-lines that share a rare shingle, which meet in blocks.
+centres grow with a bucket's size; those of bitmaps with the square of the members
+that no link joins, which meet in blocks.
 """
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,6 +37,8 @@ BINS = 32
 STARTS = [-(1 << 63) + (b << 64) // BINS for b in range(BINS)]
 #: Lines of at least FEW words give shingles of words, those of fewer than MANY all.
 FEW, MANY = 24, 32
+#: Words of 64 bits in the bitmap of a line's shingles.
+WORDS = 32
 #: The minima of all bins in one method would be more than the JVM compiles.
 _SIGNING = {"spark.sql.codegen.hugeMethodLimit": "8000"}
 #: Blanks at the ends of a line.
@@ -90,41 +94,45 @@ def _verified(pairs: DataFrame, texts: DataFrame, k: int, similarity: float) ->
     return shared.where(F.col("shared") >= F.lit(similarity) * (F.col("n") - F.col("shared"))).select(F.col("l").alias("a"), F.col("c").alias("b"))
 
 
-def _apart(others: DataFrame, families: DataFrame, centres: DataFrame) -> DataFrame:
-    """(l, component): the others(key, l) of buckets whose members, centres
-    included, are of several components."""
+def _apart(others: DataFrame, families: DataFrame) -> DataFrame:
+    """(key, l, component, of): the others(key, l) of buckets whose members are of
+    several components, with the number of the bucket's others."""
     named = families.withColumnRenamed("node", "l")
     own = others.join(named, "l", "left").withColumn("component", F.coalesce("component", "l"))
-    several = own.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b")
-    return own.join(several.select("key"), "key").select("l", "component").distinct()
-
-
-def _may_link(shingles: DataFrame, apart: DataFrame, similarity: float, block: int) -> DataFrame:
-    """(l, c): all pairs of apart(l, component), of different components, that can
-    reach the similarity, given their distinct shingles(l, h).  Two sets at the
-    threshold share one of the first n - ceil(t n) + 1 shingles of any common
-    order, here the rarest first; where they first do, and only there, they meet,
-    if what is left of both suffices.  The lines that share one meet in blocks of
-    about `block`."""
-    often = shingles.groupBy("h").agg(F.count("*").alias("of"))
-    ranked = shingles.join(often, "h").groupBy("l").agg(F.sort_array(F.collect_list(F.struct("of", "h"))).alias("s"))
-    n = F.size("s")
-    prefix = F.slice("s", F.lit(1), n - F.ceil(F.lit(similarity) * n - 1e-9).cast("int") + 1)
-    placed = F.transform(prefix, lambda x, i: F.struct(x["of"].alias("of"), x["h"].alias("h"), i.alias("pos")))
-    shared = ranked.select("l", n.alias("n"), F.filter(placed, lambda x: x["of"] > 1).alias("p"))
-    each = shared.select("l", "n", F.col("p.h").alias("all"), F.posexplode("p").alias("at", "x"))
-    before = F.slice("all", F.lit(1), F.col("at")).alias("before")
-    each = each.join(apart, "l").select("l", "component", "n", (F.col("n") - F.col("x.pos")).alias("left"), "x.h", before, F.ceil(F.col("x.of") / block).alias("blocks"))
-    own = each.withColumn("own", F.pmod(F.xxhash64("l"), "blocks"))
-    dealt = own.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    dealt = dealt.select("l", "component", "n", "left", "h", "before", "own", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
+    several = own.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.count("*").alias("of")).where("a <> b")
+    return own.join(several.select("key", "of"), "key").select("key", "l", "component", "of")
+
+
+def _marks(texts: DataFrame, k: int) -> DataFrame:
+    """(l, n, m0 .. m31, spare): the size of each line's set, its bitmap, and how
+    many shingles fell on a bit that another had set."""
+    each = texts.select("l", F.explode(F.array_distinct(_hashes(F.col("line"), k))).alias("h"))
+    word, bit = F.shiftrightunsigned("h", 59), F.call_function("shiftleft", F.lit(1).cast("long"), F.col("h").bitwiseAND(63).cast("int"))
+    maps = [F.coalesce(F.bit_or(F.when(F.col("word") == i, F.col("bit"))), F.lit(0).cast("long")).alias(f"m{i}") for i in range(WORDS)]
+    marks = each.select("l", word.alias("word"), bit.alias("bit")).groupBy("l").agg(F.count("*").cast("int").alias("n"), *maps)
+    return marks.withColumn("spare", F.col("n") - _sum([F.bit_count(f"m{i}") for i in range(WORDS)]))
+
+
+def _sum(terms: list[Column]) -> Column:
+    return functools.reduce(Column.__add__, terms)
+
+
+def _may_link(apart: DataFrame, marks: DataFrame, similarity: float, block: int) -> DataFrame:
+    """(l, c): all pairs of a bucket of apart(key, l, component, of), of different
+    components, that marks doesn't rule out.  A bit of one line that the other
+    lacks is at least one shingle that it lacks; so two lines share at most as many
+    shingles as bits, and what is spare in either.  Large buckets are cut into
+    blocks of about `block` lines that meet pairwise."""
+    each = apart.withColumn("blocks", F.ceil(F.col("of") / block)).withColumn("own", F.pmod(F.xxhash64("l"), "blocks"))
+    each = each.join(marks, "l").withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    dealt = each.withColumn("lo", F.least("own", "other")).withColumn("hi", F.greatest("own", "other")).drop("of", "blocks", "other")
     a, b = dealt.alias("a"), dealt.alias("b")
-    same = [F.col(f"a.{x}") == F.col(f"b.{x}") for x in ("h", "lo", "hi")]
+    same = [F.col(f"a.{x}") == F.col(f"b.{x}") for x in ("key", "lo", "hi")]
     once = (F.col("a.l") < F.col("b.l")) & (F.col("a.component") != F.col("b.component")) & ((F.col("a.own") != F.col("b.own")) | (F.col("a.lo") == F.col("a.hi")))
     sizes = F.least("a.n", "b.n") >= F.lit(similarity) * F.greatest("a.n", "b.n") - 1e-6
-    enough = F.least("a.left", "b.left") * (1 + similarity) >= F.lit(similarity) * (F.col("a.n") + F.col("b.n")) - 1e-6
-    first = ~F.arrays_overlap("a.before", "b.before")
-    return a.join(b, [*same, once, sizes, enough, first]).select("a.l", F.col("b.l").alias("c"))
+    common = _sum([F.bit_count(F.col(f"a.m{i}").bitwiseAND(F.col(f"b.m{i}"))) for i in range(WORDS)])
+    enough = (common + F.least("a.spare", "b.spare")) * (1 + similarity) >= F.lit(similarity) * (F.col("a.n") + F.col("b.n")) - 1e-6
+    return a.join(b, [*same, once, sizes, enough]).select("a.l", F.col("b.l").alias("c")).distinct()
 
 
 def dedup(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 8, similarity: float = 0.8, broadcast_rows: int = 300_000, block: int = 512) -> DataFrame:
@@ -172,11 +180,12 @@ def dedup(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col
 
     # members that are no centres, where a bucket has several, against each other
     if not others.isEmpty():
-        apart = scratch.table(_apart(others, families, centres), "apart")
-        if n_apart := apart.count():
-            own = texts.join(shared_by(apart, n_apart), "l").select("l", F.explode(F.array_distinct(_hashes(F.col("line"), k))).alias("h"))
-            shingles = scratch.table(own, "shingles")
-            more = scratch.table(_may_link(shingles, apart, similarity, block), "more")
+        apart = scratch.table(_apart(others, families), "apart")
+        if not apart.isEmpty():
+            own = texts.join(apart.select("l").distinct(), "l", "left_semi")
+            marks = scratch.table(_marks(own, k), "marks")
+            with _set(spark, _SIGNING):
+                more = scratch.table(_may_link(apart, marks, similarity, block), "more")
             links = _verified(more, texts, k, similarity).unionByName(families.select(F.col("node").alias("a"), F.col("component").alias("b")))
             families = components(spark, links, scratch, "joined")
 
