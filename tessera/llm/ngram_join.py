@@ -11,8 +11,10 @@ nothing.)  Pairs that survive are verified on the sets.
 The points meet in many small trees rather than one: sets at the threshold must
 share one of the first n - ceil(t n) + 1 shingles of any common order, so each
 set goes to the trees of these, apart by bands of set size; a tree of one leaf is
-that leaf.  The order puts shingles last that a bounded sample finds in several
-documents; any order gives the same result.  Equal sets are one point.
+that leaf.  The order puts shingles of rare words first and those last that a bounded
+sample finds in several documents; any order gives the same result.  Equal sets are
+one point, and trees of the same sets one tree: two near copies share hundreds of
+shingles, and meet once.
 
 Where more than a block of sets share a shingle, they first meet their centre, the
 one with most such shingles, and links found bear one label.  Only sets with
@@ -41,20 +43,29 @@ from .grouping import blocks_of, dealt, forest, grow
 GROUPS, FILL = 64, 8
 LEAF = 8
 _MANY = 255  # a count that stands for itself or more
+#: Words are counted by so many last bits of their hash.
+WORD_BITS = 18
 
 
-def shingle_sets(texts, n: int, lower: bool = True) -> Iterator[np.ndarray]:
-    """Sorted distinct shingle hashes of each text.  With fewer than n words, but
-    some, the whole sequence is one shingle."""
-    for first, last, buf, offsets in chunks(texts):
+def _words(texts, lower: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Word hashes of runs of texts, and where in them each text begins and ends."""
+    for _, _, buf, offsets in chunks(texts):
         if lower:
             buf = lower_ascii(buf)
         starts, ends = word_spans(buf)
-        words = span_hashes(buf, starts, ends)
-        at = np.searchsorted(starts, offsets)
+        yield span_hashes(buf, starts, ends), np.searchsorted(starts, offsets)
+
+
+def _slots(words: np.ndarray) -> np.ndarray:
+    return (words & np.uint64((1 << WORD_BITS) - 1)).astype(np.int64)
+
+
+def shingle_sets(texts, n: int, lower: bool = True) -> Iterator[np.ndarray]:
+    """Sorted distinct shingle hashes of each text.  With fewer than n words, but
+    some, the whole sequence is one shingle."""
+    for words, at in _words(texts, lower):
         every = grams(words, n)
-        for k in range(last - first):
-            s, e = at[k], at[k + 1]
+        for s, e in zip(at[:-1], at[1:], strict=True):
             if e - s >= n:
                 yield np.unique(every[s : e - n + 1])
             elif e > s:
@@ -63,6 +74,30 @@ def shingle_sets(texts, n: int, lower: bool = True) -> Iterator[np.ndarray]:
                 yield np.zeros(0, np.uint64)
 
 
+def ranked_sets(texts, n: int, weights: np.ndarray, lower: bool = True) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The sets of shingle_sets, with the summed weights of each shingle's words."""
+    for words, at in _words(texts, lower):
+        every = grams(words, n)
+        sums = np.concatenate(([0], np.cumsum(weights[_slots(words)], dtype=np.int64)))
+        sums = sums[n:] - sums[:-n]
+        for s, e in zip(at[:-1], at[1:], strict=True):
+            if e - s >= n:
+                found, where = np.unique(every[s : e - n + 1], return_index=True)
+                yield found, sums[s : e - n + 1][where]
+            elif e > s:
+                yield grams(words[s:e], int(e - s)), np.zeros(1, np.int64)
+            else:
+                yield np.zeros(0, np.uint64), np.zeros(0, np.int64)
+
+
+def in_order(s: np.ndarray, sums: np.ndarray, late: np.ndarray) -> np.ndarray:
+    """A set in the common order: by the weight of its words, then by hash; those of
+    the sorted `late` last."""
+    last = late[np.minimum(np.searchsorted(late, s), len(late) - 1)] == s if len(late) else np.zeros(len(s), bool)
+    rank = np.where(last, 32767, np.minimum(sums, 32766)).astype(np.int16)
+    return s[np.argsort(rank, kind="stable")]
+
+
 def point(s: np.ndarray) -> np.ndarray:
     """Counts of a set in its groups, whose number is a power of two."""
     groups = max(GROUPS, 1 << max(0, (len(s) // FILL).bit_length()))
@@ -201,6 +236,14 @@ def _possible(percent: int):
     return links, pairs
 
 
+def once(members: DataFrame) -> DataFrame:
+    """members(group, node) of one group of those that have the same nodes, which are
+    known by their number and 128 bits of hashes."""
+    marks = [F.bit_xor(F.xxhash64("node", F.lit(seed))) for seed in (3, 7)]
+    groups = members.groupBy("group").agg(F.count("*").alias("n"), marks[0].alias("x"), marks[1].alias("y"))
+    return members.join(groups.groupBy("n", "x", "y").agg(F.min("group").alias("group")).select("group"), "group")
+
+
 def _digest(s: np.ndarray) -> tuple[int, int]:
     digest = hashlib.blake2b(s.tobytes(), digest_size=16).digest()
     return int.from_bytes(digest[:8], "big", signed=True), int.from_bytes(digest[8:], "big", signed=True)
@@ -231,7 +274,7 @@ def similar(
     occur: links don't depend on an order.  A text is held whole, however long.
 
     sample only steers the common order, as do the million shingles most frequent
-    in it; block bounds the points, family_block and family_bytes the sets that a
+    in it and the counts of its words; block bounds the points, family_block and family_bytes the sets that a
     task holds at a time (half of them; a longer set is a block of its own); a
     table of at most broadcast_rows ids, or of broadcast_bytes of text, goes to all
     executors, a larger one is shuffled.
@@ -246,7 +289,14 @@ def similar(
     def shared_by(df: DataFrame) -> DataFrame:
         return F.broadcast(df) if df.count() <= broadcast_rows else df
 
-    # shingles of more than one class of sampled documents go to the end of the order
+    # the words of sampled documents are counted; shingles of more than one class of
+    # them go to the end of the order
+    def counted(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for words, _ in _words(encoded(frame["text"]), lower):
+                slot, times = np.unique(_slots(words), return_counts=True)
+                yield pd.DataFrame({"slot": slot, "times": times})
+
     def of_sample(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             seen = {s.tobytes(): s for s in shingle_sets(encoded(frame["text"]), n, lower)}
@@ -254,19 +304,22 @@ def similar(
                 yield pd.DataFrame({"h": s.view(np.int64), "of": s[:1].view(np.int64).repeat(len(s))})
 
     picked = given.select("doc_id").where("doc_id is not null").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    sampled = given.join(F.broadcast(picked.distinct()), "doc_id").mapInPandas(tidy(of_sample), "h long, of long")
-    often = sampled.groupBy("h").agg(F.min("of").alias("a"), F.max("of").alias("b"), F.count("*").alias("of")).where("a <> b")
+    sampled = scratch.table(given.join(F.broadcast(picked.distinct()), "doc_id"), "sampled")
+    often = sampled.mapInPandas(tidy(of_sample), "h long, of long").groupBy("h").agg(F.min("of").alias("a"), F.max("of").alias("b"), F.count("*").alias("of")).where("a <> b")
     often = scratch.table(often.orderBy(F.col("of").desc(), "h").limit(1 << 20).select("h"), "often")
-    late = spark.sparkContext.broadcast(np.sort(often.toArrow()["h"].to_numpy().view(np.uint64)))
+    known = scratch.table(sampled.mapInPandas(tidy(counted), "slot long, times long").groupBy("slot").agg(F.sum("times").alias("times")), "words").toArrow()
+    scratch.drop("sampled")
+    weights = np.zeros(1 << WORD_BITS, np.uint8)
+    weights[known["slot"].to_numpy()] = np.minimum(np.rint(8 * np.log2(1 + known["times"].to_numpy())), 255)
+    order = spark.sparkContext.broadcast((np.sort(often.toArrow()["h"].to_numpy().view(np.uint64)), weights))
 
     def to_sets(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last_ones = late.value
+        late, weights = order.value
         row = TaskContext.get().partitionId() << 33
         for frame in frames:
             out = []
-            for s in shingle_sets(encoded(frame["text"]), n, lower):
-                last = last_ones[np.minimum(np.searchsorted(last_ones, s), len(last_ones) - 1)] == s if len(last_ones) else np.zeros(len(s), bool)
-                first = np.concatenate([s[~last], s[last]])[: prefix_length(len(s), percent)]
+            for s, sums in ranked_sets(encoded(frame["text"]), n, weights, lower):
+                first = in_order(s, sums, late)[: prefix_length(len(s), percent)]
                 first = np.concatenate([mix(first ^ np.uint64(band)) for band in size_bands(len(s), percent)] or [first])
                 out.append((len(s), *_digest(s), point(s).tobytes(), first.view(np.int64)))
             yield pd.DataFrame(out, columns=["n", "d1", "d2", "payload", "prefix"]).assign(doc_id=frame["doc_id"].array, row=np.arange(row, row + len(frame)))
@@ -279,7 +332,10 @@ def similar(
     classes = scratch.table(some.groupBy("d1", "d2").agg(F.min(F.struct("doc_id", "row")).alias("first")).select("first.row"), "classes")
     reps = some.join(shared_by(classes), "row", "left_semi")
     reps = scratch.table(reps.select(F.xxhash64("d1", "d2").alias("node"), "doc_id", "d1", "d2", "n", "payload", "prefix"), "reps")
-    own = reps.select("node", "doc_id", "d1", "d2", "n")
+    rows_of = scratch.table(sets.select("doc_id", "n", "d1", "d2"), "classed")
+    scratch.drop("sets")
+    points = scratch.table(reps.drop("prefix"), "points")
+    own = points.select("node", "doc_id", "d1", "d2", "n")
 
     def texts_of(nodes: DataFrame, name: str) -> DataFrame:
         """nodes(node, ...) with d1, d2 and their text; a repeated id may bring others."""
@@ -314,12 +370,12 @@ def similar(
 
     def labelled(labels: DataFrame) -> DataFrame:
         """The representatives with their label, by default their node."""
-        return reps.join(labels, "node", "left").withColumn("label", F.coalesce("component", "node")).drop("component")
+        return points.join(labels, "node", "left").withColumn("label", F.coalesce("component", "node")).drop("component")
 
     keys = reps.select(F.explode("prefix").alias("group"), "node")
     shared = scratch.table(keys.groupBy("group").agg(F.count("*").alias("n")).where("n > 1"), "shared")
     crowded = scratch.table(shared.where(F.col("n") > block).select("group"), "crowded")
-    labels = reps.select("node", F.col("node").alias("component")).where("false")
+    labels = points.select("node", F.col("node").alias("component")).where("false")
     if n_crowded := crowded.count():
         crowd = scratch.table(keys.join(F.broadcast(crowded) if n_crowded <= broadcast_rows else crowded, "group"), "crowd")
         labels = star(scratch.table(crowd.groupBy("node").agg(F.min("group").alias("group"), F.count("*").alias("keys")), "mine"))
@@ -327,7 +383,10 @@ def similar(
         shared = shared.where(F.col("n") <= block).select("group").unionByName(cut.select("group"))
     else:
         cut = shared.where("false").select("group", F.col("group").alias("major"), F.lit(0).alias("blocks"), F.lit(0).alias("rest"))
-    members = scratch.table(keys.join(shared.select("group"), "group"), "members")
+    every = scratch.table(keys.join(shared.select("group"), "group"), "every")
+    scratch.drop("reps")
+    members = scratch.table(once(every), "members")
+    scratch.drop("every")
     rows = members.join(labelled(labels).select("node", "n", "payload", "label"), "node")
     links, pairs = _possible(percent)
     maybe = forest(dealt(rows, cut.where("blocks > 1"), tasks), links, pairs, LEAF)
@@ -360,8 +419,8 @@ def similar(
     node_of = components(spark, real.unionByName(alike), scratch, "links")
 
     # rows of a class are one node each by id; an id with several texts joins its classes
-    linked_reps = reps.select("node", "d1", "d2").join(shared_by(node_of), "node", "left").select("d1", "d2", F.coalesce("component", "node").alias("component"))
-    rows = sets.select("doc_id", "n", "d1", "d2").join(linked_reps, ["d1", "d2"], "left")
+    linked_reps = points.select("node", "d1", "d2").join(shared_by(node_of), "node", "left").select("d1", "d2", F.coalesce("component", "node").alias("component"))
+    rows = rows_of.join(linked_reps, ["d1", "d2"], "left")
     rows = scratch.table(rows.select("doc_id", "n", F.when(F.col("doc_id").isNotNull() & (F.col("n") > 0), F.col("component")).alias("component")), "rows")
     named = rows.where("component is not null")
     least = scratch.table(named.groupBy("component").agg(F.min("doc_id").alias("least")), "least")
