@@ -14,7 +14,10 @@ set goes to the trees of these, apart by bands of set size; a tree of one leaf i
 that leaf.  The order puts shingles of rare words first and those last that a bounded
 sample finds in several documents; any order gives the same result.  Equal sets are
 one point, and trees of the same sets one tree: two near copies share hundreds of
-shingles, and meet once.
+shingles, and meet once.  With l - 1 shingles more in each prefix, sets at the
+threshold share l; so a pair that meets in leaves only must meet l times before its
+points do.  (Unrelated sets that share a shingle or two grow with the square of the
+input, and long ones have large points.)
 
 Where more than a block of sets share a shingle, they first meet their centre, the
 one with most such shingles, and links found bear one label.  Only sets with
@@ -45,6 +48,9 @@ LEAF = 8
 _MANY = 255  # a count that stands for itself or more
 #: Words are counted by so many last bits of their hash.
 WORD_BITS = 18
+#: Shingles that two long sets at the threshold must share in their prefixes; a key's
+#: last bits hold the number that its band asks for, less 1.
+SHARED = 8
 
 
 def _words(texts, lower: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -118,6 +124,24 @@ def size_bands(n: int, percent: int) -> list[int]:
     return list(range(own, high + 1))
 
 
+def asked(band: int, percent: int) -> int:
+    """How many shingles of their prefixes two sets at the threshold share at least in
+    the band that is the larger one's own: more in bands of larger sets."""
+    step = 4 * math.log(100 / percent) if percent < 100 else 1.0
+    least = int(math.exp(min(band * step, 40.0)) * (1 - 1e-6))
+    return max(1, min(SHARED, least // 16 + 1, percent * least // 100))
+
+
+def keys_of(ordered: np.ndarray, percent: int) -> np.ndarray:
+    """The trees of a set in the common order: its prefix in each of its bands."""
+    n, out = len(ordered), [np.zeros(0, np.uint64)]
+    for band in size_bands(n, percent):
+        most = asked(band, percent)
+        first = mix(ordered[: prefix_length(n, percent) + most - 1] ^ np.uint64(band))
+        out.append(first & ~np.uint64(SHARED - 1) | np.uint64(most - 1))
+    return np.concatenate(out)
+
+
 def folded(points: list[bytes], sizes: np.ndarray, groups: int) -> np.ndarray:
     """Points as rows of counts in so many groups, at most as many as each has."""
     out = np.empty((len(points), groups), np.int64)
@@ -238,10 +262,33 @@ def _possible(percent: int):
 
 def once(members: DataFrame) -> DataFrame:
     """members(group, node) of one group of those that have the same nodes, which are
-    known by their number and 128 bits of hashes."""
+    known by their number and 128 bits of hashes; with their number n, times, how
+    many such groups there are by the number that they ask for, and wide, which
+    groups of nearly the same nodes mostly have in common (two minima of hashes)."""
     marks = [F.bit_xor(F.xxhash64("node", F.lit(seed))) for seed in (3, 7)]
-    groups = members.groupBy("group").agg(F.count("*").alias("n"), marks[0].alias("x"), marks[1].alias("y"))
-    return members.join(groups.groupBy("n", "x", "y").agg(F.min("group").alias("group")).select("group"), "group")
+    least = F.xxhash64(*[F.min(F.xxhash64("node", F.lit(seed))) for seed in (11, 13)])
+    groups = members.groupBy("group").agg(F.count("*").alias("n"), marks[0].alias("x"), marks[1].alias("y"), least.alias("wide"))
+    by_asked = groups.groupBy("n", "x", "y", "wide", (F.col("group").bitwiseAND(SHARED - 1) + 1).alias("asked")).agg(F.min("group").alias("group"), F.count("*").alias("times"))
+    kept = by_asked.groupBy("n", "x", "y", "wide").agg(F.min("group").alias("group"), F.map_from_entries(F.collect_list(F.struct("asked", "times"))).alias("times"))
+    return members.join(kept.select("group", "n", "times", "wide"), "group")
+
+
+def met_enough(members: DataFrame, few: int, block: int) -> DataFrame:
+    """(group, node): the members of once(), of which groups with one `wide` are one
+    where that has at most `block` nodes.  (A family of near copies has a group of
+    nearly all for every shingle that some lack.)  Of groups of at most `few`, instead,
+    each pair that meets in them as often as asked, as a group of its own."""
+    small = members.where(F.col("n") <= few)
+    a = small.select("group", "times", F.col("node").alias("a"))
+    pairs = a.join(small.select("group", F.col("node").alias("b")), "group").where("a < b")
+    pairs = pairs.select("a", "b", F.explode("times").alias("asked", "times"))
+    pairs = pairs.groupBy("a", "b", "asked").agg(F.sum("times").alias("times")).where("times >= asked").select("a", "b").distinct()
+    own = pairs.select(F.xxhash64("a", "b").alias("group"), F.explode(F.array("a", "b")).alias("node"))
+    large = members.where(F.col("n") > few)
+    joint = large.where(F.col("n") <= block).select(F.col("wide").alias("group"), "node").distinct()
+    fit = joint.groupBy("group").agg(F.count("*").alias("of")).where(F.col("of") <= block).select("group")
+    rest = large.join(fit.select(F.col("group").alias("wide"), F.lit(True).alias("fits")), "wide", "left").where((F.col("n") > block) | F.col("fits").isNull())
+    return rest.select("group", "node").unionByName(joint.join(fit, "group")).unionByName(own)
 
 
 def _digest(s: np.ndarray) -> tuple[int, int]:
@@ -319,8 +366,7 @@ def similar(
         for frame in frames:
             out = []
             for s, sums in ranked_sets(encoded(frame["text"]), n, weights, lower):
-                first = in_order(s, sums, late)[: prefix_length(len(s), percent)]
-                first = np.concatenate([mix(first ^ np.uint64(band)) for band in size_bands(len(s), percent)] or [first])
+                first = keys_of(in_order(s, sums, late), percent)
                 out.append((len(s), *_digest(s), point(s).tobytes(), first.view(np.int64)))
             yield pd.DataFrame(out, columns=["n", "d1", "d2", "payload", "prefix"]).assign(doc_id=frame["doc_id"].array, row=np.arange(row, row + len(frame)))
             row += len(frame)
@@ -379,14 +425,17 @@ def similar(
     if n_crowded := crowded.count():
         crowd = scratch.table(keys.join(F.broadcast(crowded) if n_crowded <= broadcast_rows else crowded, "group"), "crowd")
         labels = star(scratch.table(crowd.groupBy("node").agg(F.min("group").alias("group"), F.count("*").alias("keys")), "mine"))
+        scratch.drop("hot-texts", "centres")
         cut = scratch.table(blocks_of(crowd.join(labelled(labels).select("node", "label"), "node"), block), "cut")
         shared = shared.where(F.col("n") <= block).select("group").unionByName(cut.select("group"))
     else:
         cut = shared.where("false").select("group", F.col("group").alias("major"), F.lit(0).alias("blocks"), F.lit(0).alias("rest"))
     every = scratch.table(keys.join(shared.select("group"), "group"), "every")
     scratch.drop("reps")
-    members = scratch.table(once(every), "members")
+    met = scratch.table(once(every), "met")
     scratch.drop("every")
+    members = scratch.table(met_enough(met, min(LEAF, block), block), "members")
+    scratch.drop("met")
     rows = members.join(labelled(labels).select("node", "n", "payload", "label"), "node")
     links, pairs = _possible(percent)
     maybe = forest(dealt(rows, cut.where("blocks > 1"), tasks), links, pairs, LEAF)
