@@ -17,7 +17,7 @@ one point, and trees of the same sets one tree: two near copies share hundreds o
 shingles, and meet once.  With l - 1 shingles more in each prefix, sets at the
 threshold share l; so a pair that meets in leaves only must meet l times before its
 points do.  (Unrelated sets that share a shingle or two grow with the square of the
-input, and long ones have large points.)
+input, and long ones have large points.)  Trees of nearly the same sets are one, too.
 
 Where more than a block of sets share a shingle, they first meet their centre, the
 one with most such shingles, and links found bear one label.  Only sets with
