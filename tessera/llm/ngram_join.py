@@ -333,8 +333,9 @@ def similar(
     tasks = partitions(spark)
     given = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
 
-    def shared_by(df: DataFrame) -> DataFrame:
-        return F.broadcast(df) if df.count() <= broadcast_rows else df
+    def shared_by(df: DataFrame, name: str) -> DataFrame:
+        """The table of that name, which was counted."""
+        return F.broadcast(df) if scratch.rows[name] <= broadcast_rows else df
 
     # the words of sampled documents are counted; shingles of more than one class of
     # them go to the end of the order
@@ -375,8 +376,8 @@ def similar(
     named = given.select(F.col("doc_id").cast("string"), "text")  # a long with nulls would come as a double
     sets = scratch.table(named.mapInPandas(tidy(to_sets), schema).withColumn("doc_id", F.col("doc_id").cast("long")), "sets")
     some = sets.where("n > 0 and doc_id is not null")
-    classes = scratch.table(some.groupBy("d1", "d2").agg(F.min(F.struct("doc_id", "row")).alias("first")).select("first.row"), "classes")
-    reps = some.join(shared_by(classes), "row", "left_semi")
+    classes = scratch.counted(some.groupBy("d1", "d2").agg(F.min(F.struct("doc_id", "row")).alias("first")).select("first.row"), "classes")
+    reps = some.join(shared_by(classes, "classes"), "row", "left_semi")
     reps = scratch.table(reps.select(F.xxhash64("d1", "d2").alias("node"), "doc_id", "d1", "d2", "n", "payload", "prefix"), "reps")
     rows_of = scratch.table(sets.select("doc_id", "n", "d1", "d2"), "classed")
     scratch.drop("sets")
@@ -385,8 +386,8 @@ def similar(
 
     def texts_of(nodes: DataFrame, name: str) -> DataFrame:
         """nodes(node, ...) with d1, d2 and their text; a repeated id may bring others."""
-        wanted = scratch.table(nodes.join(own.select("node", "doc_id", "d1", "d2"), "node"), name)
-        return given.join(shared_by(wanted), "doc_id").drop("doc_id")
+        wanted = scratch.counted(nodes.join(own.select("node", "doc_id", "d1", "d2"), "node"), name)
+        return given.join(shared_by(wanted, name), "doc_id").drop("doc_id")
 
     def sets_of(frame: pd.DataFrame, text: str = "text", d1: str = "d1", d2: str = "d2") -> list[np.ndarray | None]:
         found = shingle_sets(encoded(frame[text]), n, lower)
@@ -420,9 +421,9 @@ def similar(
 
     keys = reps.select(F.explode("prefix").alias("group"), "node")
     shared = scratch.table(keys.groupBy("group").agg(F.count("*").alias("n")).where("n > 1"), "shared")
-    crowded = scratch.table(shared.where(F.col("n") > block).select("group"), "crowded")
+    crowded = scratch.counted(shared.where(F.col("n") > block).select("group"), "crowded")
     labels = points.select("node", F.col("node").alias("component")).where("false")
-    if n_crowded := crowded.count():
+    if n_crowded := scratch.rows["crowded"]:
         crowd = scratch.table(keys.join(F.broadcast(crowded) if n_crowded <= broadcast_rows else crowded, "group"), "crowd")
         labels = star(scratch.table(crowd.groupBy("node").agg(F.min("group").alias("group"), F.count("*").alias("keys")), "mine"))
         scratch.drop("hot-texts", "centres")
@@ -446,8 +447,8 @@ def similar(
     # each family's sets in one place, or in blocks
     home = families.select("node", F.col("component").alias("group")).join(labelled(labels).select("node", (F.col("n") * 8).alias("held"), "label"), "node")
     home = scratch.table(home.select("node", "group", "held", "label"), "home")
-    cut = scratch.table(blocks_of(home, family_block, "held", family_bytes), "family-cut")
-    mixed = home.join(shared_by(cut.select("group")), "group").select("node", "group", "label")
+    cut = scratch.counted(blocks_of(home, family_block, "held", family_bytes), "family-cut")
+    mixed = home.join(shared_by(cut.select("group"), "family-cut"), "group").select("node", "group", "label")
 
     def verified(frame: pd.DataFrame) -> list[tuple[int, int]]:
         sets = sets_of(frame)
@@ -468,14 +469,14 @@ def similar(
     node_of = components(spark, real.unionByName(alike), scratch, "links")
 
     # rows of a class are one node each by id; an id with several texts joins its classes
-    linked_reps = points.select("node", "d1", "d2").join(shared_by(node_of), "node", "left").select("d1", "d2", F.coalesce("component", "node").alias("component"))
+    linked_reps = points.select("node", "d1", "d2").join(shared_by(node_of, "links-labels"), "node", "left").select("d1", "d2", F.coalesce("component", "node").alias("component"))
     rows = rows_of.join(linked_reps, ["d1", "d2"], "left")
     rows = scratch.table(rows.select("doc_id", "n", F.when(F.col("doc_id").isNotNull() & (F.col("n") > 0), F.col("component")).alias("component")), "rows")
     named = rows.where("component is not null")
     least = scratch.table(named.groupBy("component").agg(F.min("doc_id").alias("least")), "least")
     twice = named.groupBy("doc_id").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b")
-    twice = scratch.table(twice, "twice")
-    if not twice.isEmpty():
+    twice = scratch.counted(twice, "twice")
+    if scratch.rows["twice"]:
         more = named.join(twice.select("doc_id", "a"), "doc_id").select("a", F.col("component").alias("b"))
         wide = components(spark, more, scratch, "ids").select(F.col("node").alias("component"), F.col("component").alias("wide"))
         least = least.join(wide, "component", "left").withColumn("wide", F.coalesce("wide", "component"))

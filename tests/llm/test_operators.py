@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tessera.llm import decontamination, fingerprints, html_text, line_dedup, mixing, ngram_join, repeats, sharding, token_counts, toxicity
+from tessera.llm.common import Scratch, components
 
 WORD = r"[^\x20\x09-\x0D]+"
 SCHEMA = "doc_id long, text string, source string, size string, score string"
@@ -349,3 +350,23 @@ def test_keys_of_lines_are_held_once(spark, monkeypatch):
     got = {r.doc_id: r.removed for r in line_dedup.dedup(spark, docs).collect()}
     assert got[0] == [] and all(0 in got[i] for i in range(1, 40))
     assert signed == [41] and not any("keys" in c for c in tables.values())
+
+
+def test_components_of_long_chains_in_few_queries(spark):
+    """Each query stays in the driver's memory, with its plan and the figures of its tasks."""
+    nodes = list(range(120))
+    random.Random(5).shuffle(nodes)
+    links = [*zip(nodes[:59], nodes[1:60], strict=True), *[(nodes[60], x) for x in nodes[61:90]], (nodes[90], nodes[90])]
+    done = spark._jsparkSession.sharedState().statusStore()
+    bus = spark.sparkContext._jsc.sc().listenerBus()
+    bus.waitUntilEmpty(30_000)
+    before = done.executionsCount()
+    scratch = Scratch(spark, "test")
+    out = components(spark, spark.createDataFrame(links, "a long, b long"), scratch, "cc")
+    bus.waitUntilEmpty(30_000)
+    queries = done.executionsCount() - before
+    want = {x: min(nodes[:60]) for x in nodes[:60]} | {x: min(nodes[60:90]) for x in nodes[60:90]}
+    assert {r.node: r.component for r in out.collect()} == want
+    assert out.count() == scratch.rows["cc-labels"] == 90
+    assert queries <= 24
+    assert components(spark, out.where("false").toDF("a", "b"), scratch, "none").count() == scratch.rows["none-labels"] == 0
