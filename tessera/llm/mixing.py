@@ -89,9 +89,9 @@ def _solve(spark: SparkSession, scratch: Scratch, cells: DataFrame, sources: Dat
             .withColumn("next", F.when(F.col("done"), F.col("lam")).when(inside, F.col("step")).otherwise((F.col("lo2") + F.col("hi2")) / 2))
             .select("key", "target", F.col("next").alias("lam"), F.col("lo2").alias("lo"), F.col("hi2").alias("hi"), "done")
         )
-        state = scratch.table(state, f"dual-{i}")
+        state = scratch.counted(state, f"dual-{i}", "not done")
         scratch.drop(f"dual-{i - 1}")
-        if state.where("not done").isEmpty():
+        if not scratch.rows[f"dual-{i}"]:
             break
     return state.select("key", "lam")
 
@@ -109,9 +109,9 @@ def _settle(scratch: Scratch, cells: DataFrame, sources: DataFrame, cap: int, ro
         room = F.when(F.col("lack") > 0, F.col("n") - F.col("up")).otherwise(F.col("up"))
         move = F.least(room, F.floor(F.abs("lack") / F.col("size"))) * F.signum("lack").cast("long")
         moved = cells.join(pick, "key", "left").withColumn("move", F.when(F.col("size") == F.col("pick"), move).otherwise(F.lit(0)).cast("long"))
-        moved = scratch.table(moved.withColumn("up", F.col("up") + F.col("move")).drop("pick", "lack"), f"copies-{i}")
+        moved = scratch.counted(moved.withColumn("up", F.col("up") + F.col("move")).drop("pick", "lack"), f"copies-{i}", "move <> 0")
         scratch.drop(f"copies-{i - 1}")
-        cells, still = moved.drop("move"), not moved.where("move <> 0").isEmpty()
+        cells, still = moved.drop("move"), scratch.rows[f"copies-{i}"]
         if not still:
             break
     return cells
